@@ -35,11 +35,60 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.mixing import mixing_rates
+
+    return mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.url_rules import url_verdicts
+
+    return url_verdicts(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.near_dedup import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_pack_tokens": op3_pack_tokens,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_quality": op5_quality,
+        "op6_url_rules": op6_url_rules,
+        "op7_substring_dedup": op7_substring_dedup,
+        "op8_personal_data": op8_personal_data,
         "op9_token_counts": op9_token_counts,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
@@ -50,4 +99,15 @@ def oracle_sql() -> dict[str, str]:
                  g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
             SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(n.t) AS text_sha256
             FROM n JOIN g USING (t)""",
+        "op10_near_dedup": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            s AS (
+                SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+            l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+            r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+            SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id, w.doc_id = min(r.b) AS kept
+            FROM w JOIN r ON r.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id""",
     }

@@ -36,6 +36,9 @@ def _values(seed: int) -> np.ndarray:
 
 _VALUE = _values(7)
 _VALUE[65:91] = _VALUE[97:123]
+#: Values by which a word hashes alike with and without punctuation at its end.
+BARE = _VALUE.copy()
+BARE[np.frombuffer(b"!\"'),.:;?]", np.uint8)] = 0
 
 
 def _powers(n: int) -> np.ndarray:
@@ -80,18 +83,18 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def words(texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
+def words(texts: pa.Array, slice_bytes: int = SLICE_BYTES, values: np.ndarray = _VALUE) -> Iterator[Words]:
     """The words of every text, in slices of whole texts of about slice_bytes."""
     offsets, data = text_buffers(texts)
     a, n = 0, len(offsets) - 1
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + slice_bytes, side="right")) - 1
         b = min(max(b, a + 1), n)
-        yield _words(a, offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+        yield _words(a, offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], values)
         a = b
 
 
-def _words(first: int, offset: np.ndarray, data: np.ndarray) -> Words:
+def _words(first: int, offset: np.ndarray, data: np.ndarray, values: np.ndarray) -> Words:
     n = len(data)
     inner = offset[1:-1]
     inner = inner[(inner > 0) & (inner < n)]
@@ -109,7 +112,7 @@ def _words(first: int, offset: np.ndarray, data: np.ndarray) -> Words:
     position = np.arange(n, dtype=np.int64)
     position[start[0] :] -= np.repeat(start, np.diff(np.append(start, n)))
     power = _powers(int((end - start).max()))
-    value = _VALUE[data]
+    value = values[data]
     value *= power[np.minimum(position, len(power) - 1)]
     hashed = mix(np.add.reduceat(value, start))
     return Words(first, hashed, start, end, np.searchsorted(start, offset), offset, data)
