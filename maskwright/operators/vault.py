@@ -32,7 +32,7 @@ def sealed(mappings: DataFrame, secret: str, dataset: str) -> DataFrame:
     rows = rows.withColumn("plain", F.to_json(F.struct("field", "original", "token")))
     nonce = F.unhex(F.substring(keyed.hex("vault", dataset, F.col("plain")), 1, 24))
     locked = F.aes_encrypt(F.col("plain").cast("binary"), cell, F.lit("GCM"), F.lit("DEFAULT"), nonce, _bound(dataset))
-    return rows.select(F.base64(locked).alias("value")).sort("value")
+    return rows.select(F.regexp_replace(F.base64(locked), "[\r\n]", "").alias("value")).sort("value")
 
 
 def opened(lines: DataFrame, secret: str, dataset: str) -> DataFrame:

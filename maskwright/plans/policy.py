@@ -264,11 +264,12 @@ def check_rules(patterns: tuple[Rule, ...], presets: tuple[Preset, ...], spark:
 
 def _compiles(rule: Rule, spark: SparkSession) -> None:
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     try:
         compiled = spark._jvm.java.util.regex.Pattern.compile(detectors.java(rule.source))
-    except Py4JJavaError as e:
-        raise PolicyError(f"pattern {rule.name!r}: not a regular expression: {e.java_exception.getMessage()}") from e
+    except (Py4JJavaError, PySparkException) as e:
+        raise PolicyError(f"pattern {rule.name!r}: not a regular expression: {' '.join(str(e).split())[:200]}") from e
     if compiled.matcher("").find():
         raise PolicyError(f"pattern {rule.name!r}: the expression matches the empty text")
 
