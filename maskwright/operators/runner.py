@@ -73,6 +73,8 @@ def _run(spark: SparkSession, request: Request) -> dict:
     with staging.staged(spark, request.output, request.job) as part:
         formats.write(made.output, part, kind)
     report = made.report(formats.read(spark, request.output, kind) if kind == "parquet" else None)
+    if kind == "parquet" and (found := spark.read.parquet(request.output).count()) != report["rows_written"]:
+        raise OSError(f"the output has {found} rows, {report['rows_written']} were written")
     if request.vault:
         reversible = made.mappings is not None and (policy.needs_key(request.mode))
         n = write_vault(made.mappings, request.vault, secret, policy.dataset) if reversible else 0

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.dicom import queries as images
 from maskwright.functions import detectors, transforms, validators
 from maskwright.functions.keys import Keyed, dataset_key, pads, prefix
 from maskwright.operators import cascade, job, reverse, risk
@@ -192,17 +193,6 @@ def _detect(name: str, table: str, key: list[str]) -> Query:
     return run
 
 
-def _detect_ascii(name: str) -> Query:
-    """Where \\b differs between engines on other scripts: texts of ASCII only."""
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        d = detectors.CATALOGUE[name]
-        docs = _t(spark, sf, "documents").filter(F.octet_length("text") == F.length("text"))
-        return docs.select("doc_id", cascade.count_matches(F.col("text"), d.regex).alias("matches"))
-
-    return run
-
-
 #: Planted texts, for detectors that the tables give nothing to.
 PLANTED = (
     (1, "transfer to DE89 3704 0044 0532 0130 00 or DE88370400440532013000 today"),
@@ -255,8 +245,8 @@ def _sql_regex(name: str) -> str:
     return detectors.PATTERNS[name].replace("'", "''")
 
 
-def _count_sql(name: str, table: str, key: str, where: str = "") -> str:
-    return f"SELECT {key}, cast(len(regexp_extract_all(coalesce(text, ''), '{_sql_regex(name)}')) AS BIGINT) AS matches FROM {table} {where}"
+def _count_sql(name: str, table: str, key: str) -> str:
+    return f"SELECT {key}, cast(len(regexp_extract_all(coalesce(text, ''), '{_sql_regex(name)}')) AS BIGINT) AS matches FROM {table}"
 
 
 _LUHN_SQL = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 1 THEN (CASE WHEN 2 * substr(d, i, 1)::INT > 9 THEN 2 * substr(d, i, 1)::INT - 9 ELSE 2 * substr(d, i, 1)::INT END) ELSE substr(d, i, 1)::INT END)) % 10 = 0"
@@ -441,7 +431,8 @@ def lint_policy(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(x.id, x.level, x.subject) for x in found], "id string, level string, subject string")
 
 
-_ASCII = "WHERE strlen(text) = length(text)"
+#: Detectors without a validator whose expressions mean the same to both engines on these tables. (person_name is left out: DuckDB's \\b knows ASCII only.)
+_UNVALIDATED = ("api_key", "ifsc", "license_plate", "passport", "address", "organization", "medical_term")
 _PLANTABLE = ("iban", "mac_address", "url", "api_key", "ifsc", "ssn", "passport", "license_plate", "organization", "medical_term", "date_of_birth", "phone")
 _PADDED = "substr(c_mktsegment, 1, 3) || repeat('#', greatest(length(c_mktsegment) - 3, 0))"
 
@@ -454,12 +445,11 @@ def queries() -> dict[str, Query]:
         mock_collisions, detector_catalog, lint_policy,
     )
     out: dict[str, Query] = {f.__name__: f for f in plain}
-    out |= {f"detect_{n}_count": _detect(n, "documents", ["doc_id"]) for n in ("email", "credit_card", "ip_address", "phone", "date_of_birth")}
+    out |= {f"detect_{n}_count": _detect(n, "documents", ["doc_id"]) for n in detectors.CATALOGUE}
     out |= {"detect_email_conversations": _detect("email", "conversations", ["conv_id", "turn"])}
-    out |= {f"detect_{n}_ascii": _detect_ascii(n) for n in ("bic", "person_name")}
     out |= {f"planted_{n}": _planted_raw(n) for n in _PLANTABLE}
     out |= {f"valid_{n}": _valid(n) for n in VECTORS}
-    return out
+    return out | images.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -505,7 +495,7 @@ def oracle_sql() -> dict[str, str]:
         "detect_credit_card_count": _detect_card_sql(),
         "detect_email_conversations": _count_sql("email", "conversations", "conv_id, turn"),
     }
-    out |= {f"detect_{n}_ascii": _count_sql(n, "documents", "doc_id", _ASCII) for n in ("bic", "person_name")}
+    out |= {f"detect_{n}_count": _count_sql(n, "documents", "doc_id") for n in _UNVALIDATED}
     out |= {f"planted_{n}": _count_sql(n, _planted_sql(), "id") for n in _PLANTABLE}
     out |= {f"valid_{n}": _values_sql(v, "value, valid") for n, v in VECTORS.items()}
-    return out
+    return out | images.oracle_sql()
