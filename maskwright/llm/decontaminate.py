@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import textkit
-from maskwright.llm.shared import text_of
+from maskwright.llm.shared import small_batches, text_of
 
 GRAM, LEAST, RARE_SHARE = 3, 0.5, 0.7
 MATCH, OTHER = 2, -1
@@ -235,6 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least: float
     null ids are reported as null; repeated rows of docs give a row each, repeated items are separate items; other
     columns are not read; an empty table on either side gives no rows.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     tests = benchmark.select(F.col(item_id).cast("long").alias("item_id"), text_of(item_text).alias("text"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.shared import text_of
+from maskwright.llm.shared import small_batches, text_of
 
 BUDGET_BYTES = 48 << 20
 _NODE_BYTES = 300
@@ -177,6 +177,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     null. Rows that repeat both id and text count in group_size and are all marked as kept. A null text equals
     an empty one. Other columns of docs are not read, whatever their names; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised(text).alias("t"))
     partial = pa.schema([("n", pa.int64()), ("digest", pa.binary()), ("smallest", pa.int64()), ("many", pa.int64()), ("t", pa.binary())])
     final = pa.schema([("n", pa.int64()), ("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.shared import text_of
+from maskwright.llm.shared import small_batches, text_of
 from maskwright.llm.token_counts import spliced_ids
 from maskwright.llm.tokenizers_io import encoder
 
@@ -121,6 +121,7 @@ def pack_tokens(docs: DataFrame, tokenizer: str, length: int = LENGTH, block_tok
     ``doc_ids[s]``, which begins at its token ``token_starts[s]``. Documents without tokens (null or empty texts) have no
     segment; null ids are kept as null; repeated rows are packed as often as they occur; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long"), text_of(text).cast("binary"))
     return rows.mapInArrow(_pack(tokenizer, length, block_tokens, pad_id), SCHEMA)
 

@@ -44,6 +44,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand rows to Python in batches of at most this many: texts and sets are large, and a batch is held several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_of(text: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

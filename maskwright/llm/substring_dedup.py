@@ -11,7 +11,8 @@ of documents that meet under enough hash functions are candidates.
 4. Candidates are verified on their words around the windows: passages of ``least`` words or more whose shingle sets have
 a similarity of ``percent`` or more.
 
-No pairs within a group are made: a passage that n documents hold gives n - 1 rows, each with the first document.
+No pairs within a group are made: a passage that n documents hold gives n - 1 rows, each with an earlier document (the
+first of its task, and the first of all for those).
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import textkit
-from maskwright.llm.shared import cut, id_filter, passes, text_of
+from maskwright.llm.shared import cut, id_filter, passes, small_batches, text_of
 
 HASHES, ENOUGH, CONTEXT, SIZE = 3, 2, 12, 5
 LEAST_WORDS, PERCENT = 50, 75
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 18
 _RANDOM = np.random.default_rng(5)
 _XOR = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _FACTOR = _RANDOM.integers(0, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -185,17 +186,32 @@ def _word_lists(bits_sent, schema: pa.Schema):
     return run
 
 
-def _slices(schema: pa.Schema):
-    def run(batches):
-        for batch in batches:
-            pair, side, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            out = []
-            for i in range(batch.num_rows):
-                a = max(0, int(low[i]))
-                out.append({"pair": int(pair[i]), "side": int(side[i]), "at": a, "part": bytes(memoryview(batch.column(4)[i].as_buffer())[8 * a : 8 * int(high[i])])})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    return run
+_FEW = 8
+
+
+def _places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each shingle of a, where b holds it, or -1. Where b has it several times, the place on the shift between the
+    texts that most shingles agree on; of very frequent shingles, the place nearest to the commonest shift."""
+    place = np.full(len(a), -1)
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b[order], a, side=side) for side in ("left", "right"))
+    many = high - low
+    some = np.flatnonzero((many > 0) & (many <= _FEW))
+    best = 0
+    if len(some):
+        at = np.repeat(some, many[some])
+        nth = np.arange(len(at)) - np.repeat(np.concatenate([[0], np.cumsum(many[some])[:-1]]), many[some])
+        found = order[low[at] + nth]
+        shifts, own, votes = np.unique(found - at, return_inverse=True, return_counts=True)
+        best = int(shifts[votes.argmax()])
+        ranked = np.lexsort((found, -votes[own], at))
+        first = np.concatenate([[True], at[ranked][1:] != at[ranked][:-1]])
+        place[at[ranked][first]] = found[ranked][first]
+    for i in np.flatnonzero(many > _FEW):
+        own = order[low[i] : high[i]]
+        k = min(int(np.searchsorted(own, i + best)), len(own) - 1)
+        place[i] = own[k - 1] if k and abs(own[k - 1] - i - best) <= abs(own[k] - i - best) else own[k]
+    return place
 
 
 def passages(mine: np.ndarray, other: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
@@ -203,9 +219,7 @@ def passages(mine: np.ndarray, other: np.ndarray, least: int, percent: int) -> l
     from maskwright.llm.decontaminate import grams
 
     a, b = grams(mine, SIZE), grams(other, SIZE)
-    values, first = np.unique(b, return_index=True)
-    k = np.minimum(np.searchsorted(values, a), max(0, len(values) - 1))
-    place = np.where(values[k] == a, first[k], -1) if len(values) else np.full(len(a), -1)
+    place = _places(a, b)
     at = np.flatnonzero(place >= 0)
     out = []
     if not len(at):
@@ -249,6 +263,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     null id are left out; rows that repeat an id count as one document, each with its own words; other columns are
     not read; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     least = least_words - SIZE + 1
     rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text"))
     dealt = rows.mapInArrow(_windows(least), _DEALT).repartition("key").sortWithinPartitions("key", "id", "c")
@@ -267,9 +282,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(ends.select("id")))
     lists = pa.schema([("id", pa.int64()), ("words", pa.binary())])
     words = rows.mapInArrow(_word_lists(bits, lists), "id long, words binary")
-    part = pa.schema([("pair", pa.int64()), ("side", pa.int32()), ("at", pa.int32()), ("part", pa.binary())])
-    parts = words.join(ends, "id").select("pair", "side", "low", "high", "words").mapInArrow(_slices(part), "pair long, side int, at int, part binary")
-    parts = cut(parts, "passage-parts")
+    at = F.greatest(F.col("low"), F.lit(0))
+    part = F.substring("words", 8 * at + 1, 8 * (F.col("high") - at))
+    parts = cut(words.join(ends, "id").select("pair", "side", at.alias("at"), part.alias("part")), "passage-parts")
     both = pairs.select("pair", "id", "id2").join(parts.filter("side = 0").drop("side"), "pair").join(parts.filter("side = 1").select("pair", F.col("at").alias("at2"), F.col("part").alias("part2")), "pair")
     result = pa.schema([("doc_id", pa.int64()), ("first_doc_id", pa.int64()), *[(n, pa.int32()) for n in ("start_word", "end_word", "first_start_word", "first_end_word")], ("similarity", pa.float64())])
     return both.select("id", "id2", "at", "part", "at2", "part2").mapInArrow(_verify(least_words, percent, result), _RESULT)

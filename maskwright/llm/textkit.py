@@ -16,7 +16,7 @@ _BYTE = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
 SPACE = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,6 +63,7 @@ class Words:
     bound: np.ndarray
     offset: np.ndarray
     data: np.ndarray
+    stems: tuple[np.ndarray, ...] = ()
 
     def __len__(self) -> int:
         return len(self.bound) - 1
@@ -83,18 +84,18 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def words(texts: pa.Array, slice_bytes: int = SLICE_BYTES, values: np.ndarray = _VALUE) -> Iterator[Words]:
-    """The words of every text, in slices of whole texts of about slice_bytes."""
+def words(texts: pa.Array, slice_bytes: int = SLICE_BYTES, values: np.ndarray = _VALUE, stems: tuple[int, ...] = ()) -> Iterator[Words]:
+    """The words of every text, in slices of whole texts of about slice_bytes. stems: also hash the first so many bytes."""
     offsets, data = text_buffers(texts)
     a, n = 0, len(offsets) - 1
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + slice_bytes, side="right")) - 1
         b = min(max(b, a + 1), n)
-        yield _words(a, offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], values)
+        yield _words(a, offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], values, stems)
         a = b
 
 
-def _words(first: int, offset: np.ndarray, data: np.ndarray, values: np.ndarray) -> Words:
+def _words(first: int, offset: np.ndarray, data: np.ndarray, values: np.ndarray, stems: tuple[int, ...] = ()) -> Words:
     n = len(data)
     inner = offset[1:-1]
     inner = inner[(inner > 0) & (inner < n)]
@@ -108,14 +109,19 @@ def _words(first: int, offset: np.ndarray, data: np.ndarray, values: np.ndarray)
     after[inner - 1] = False
     end = np.flatnonzero(solid[:n] & ~after) + 1
     if not len(start):
-        return Words(first, np.zeros(0, np.uint64), start, end, np.zeros(len(offset), np.int64), offset, data)
+        none = np.zeros(0, np.uint64)
+        return Words(first, none, start, end, np.zeros(len(offset), np.int64), offset, data, (none,) * len(stems))
     position = np.arange(n, dtype=np.int64)
     position[start[0] :] -= np.repeat(start, np.diff(np.append(start, n)))
     power = _powers(int((end - start).max()))
     value = values[data]
     value *= power[np.minimum(position, len(power) - 1)]
     hashed = mix(np.add.reduceat(value, start))
-    return Words(first, hashed, start, end, np.searchsorted(start, offset), offset, data)
+    cut = []
+    for n_bytes in sorted(stems, reverse=True):
+        value[position >= n_bytes] = 0
+        cut.append(mix(np.add.reduceat(value, start) + np.uint64(n_bytes)))
+    return Words(first, hashed, start, end, np.searchsorted(start, offset), offset, data, tuple(cut[::-1]))
 
 
 def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

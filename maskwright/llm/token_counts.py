@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.shared import cut, text_of
+from maskwright.llm.shared import cut, small_batches, text_of
 from maskwright.llm.tokenizers_io import Encoder, encoder
 
 CHUNK_BYTES, OVERLAP_BYTES = 32768, 1024
@@ -141,6 +141,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, chunk: int =
     tokenizer: path of a public tokenizer's file, readable on every executor. Null texts count as empty (0 tokens),
     null ids stay null, repeated rows are counted one by one; other columns are not read; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     out = "doc_id long, n_bytes long, n_tokens long"
     splits = encoder(tokenizer).boundaries
