@@ -1,7 +1,7 @@
 """Features of whole texts for the classifiers: hashed distinct words and statistics of structure.
 
-A document is a sparse vector. Words, without punctuation at their end, have the value 1 / sqrt(distinct words); each statistic is one of LEVELS levels,
-one-hot. Only the text is read: no label, language, source or identifier.
+A document is a sparse vector. Words, without punctuation at their end, and stems if wanted, have the value
+1 / sqrt(how many differ); each statistic is one of LEVELS levels, one-hot. Only the text is read: no label, language, source or identifier.
 """
 
 from __future__ import annotations
@@ -63,8 +63,11 @@ def _slice(w: textkit.Words) -> Sparse:
     for members in _CLASSES.values():
         before = np.concatenate([[0], np.cumsum(members[w.data])])
         levels.append(_level((before[w.offset[1:]] - before[w.offset[:-1]]) / size))
-    keys = np.unique((doc.astype(np.uint64) << np.uint64(32)) | (w.hash & np.uint64((1 << WORD_BITS) - 1)))
-    owner, bucket = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
+    mask, owners = np.uint64((1 << WORD_BITS) - 1), doc.astype(np.uint64) << np.uint64(32)
+    keys = np.unique(owners | (w.hash & mask))
+    known = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=n)
+    keys = np.unique(np.concatenate([keys, *(owners | (stem & mask) for stem in w.stems)]))
+    owner, bucket = (keys >> np.uint64(32)).astype(np.int64), (keys & mask).astype(np.int64)
     distinct = np.bincount(owner, minlength=n)
     again = np.zeros(n)
     if len(w.hash) > 1:
@@ -73,7 +76,7 @@ def _slice(w: textkit.Words) -> Sparse:
     some = np.maximum(count, 1)
     levels += [
         np.minimum((2 * np.log2(count + 1)).astype(np.int64), LEVELS - 1),
-        _level(distinct / some),
+        _level(known / some),
         _level(again / some),
         np.minimum((2 * size / some).astype(np.int64), LEVELS - 1),
     ]
@@ -88,9 +91,9 @@ def _slice(w: textkit.Words) -> Sparse:
     return Sparse(bound, index, value, count)
 
 
-def features(texts: pa.Array) -> Iterator[Sparse]:
-    """Rows for each text of a column, in order, in slices."""
-    for w in textkit.words(texts, values=textkit.BARE):
+def features(texts: pa.Array, stems: tuple[int, ...] = ()) -> Iterator[Sparse]:
+    """Rows for each text of a column, in order, in slices. stems: also the words' first so many bytes."""
+    for w in textkit.words(texts, values=textkit.BARE, stems=stems):
         yield _slice(w)
 
 

@@ -1,6 +1,6 @@
 """Mixing to target weights with soft membership.
 
-1. A softmax classifier over hashed words and structure (see features), fitted on a bounded sample of the labelled
+1. A softmax classifier over hashed words, their first bytes and structure (see features), fitted on a bounded sample of the labelled
    table, gives each document a posterior over the domains.
 2. Document rates r >= 0 are fitted by projected-gradient least squares: they minimise the squared distance of the
    expected domain totals sum_d r_d n_d p_dk from the targets, plus ``pull`` times the token-weighted squared distance
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from maskwright.llm import textkit
 from maskwright.llm.features import SIZE, Adam, Sparse, batches_of, features
 from maskwright.llm.quality import MAX_LABELLED, read_sample, sample_features
-from maskwright.llm.shared import cut, text_of
+from maskwright.llm.shared import cut, small_batches, text_of
 
 #: Domains by (quality, toxic) of the labelled table, and the shares of tokens aimed at.
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.95, "toxic": 0.02, "junk": 0.03}
-MAX_STEPS, TOLERANCE, PULL, SNAP = 20, 1e-5, 0.002, 0.3
+MAX_STEPS, TOLERANCE, PULL, SNAP, STEMS = 20, 1e-5, 0.002, 0.3, (4, 5)
 
 
 class Softmax:
@@ -82,7 +82,7 @@ def domain_of():
 def fit_domains(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Softmax:
     marks = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("label")).filter("label is not null")
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
-    x, y = read_sample(sample_features(docs, marks, max_labelled))
+    x, y = read_sample(sample_features(docs, marks, max_labelled, STEMS))
     return Softmax(len(DOMAINS)).fit(x, y.astype(np.int64))
 
 
@@ -96,7 +96,7 @@ def domain_posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
         own.bias, own.weight = sent.value
         for batch in batches:
             at = 0
-            for x in features(batch.column(1)):
+            for x in features(batch.column(1), STEMS):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array(x.words, pa.int64()), pa.array(list(own.posteriors(x)), schema.field(2).type)], schema=schema)
                 at += len(x)
 
@@ -163,6 +163,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     share one rounding; repeated rows weigh as often as they occur; other columns are not read; an empty table gives no
     rows; without labels all domains are equally likely. Targets that can't be met are met as nearly as possible.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     known = cut(domain_posteriors(rows, fit_domains(rows, labels, max_labelled)), "posteriors")
     g = fit_rates(known, [targets[d] for d in DOMAINS])
@@ -181,6 +182,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_labelled: int = MAX_LABELLED, snap: float = SNAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, each as often as its rate says (see mixing_rates)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     model = fit_domains(rows, labels, max_labelled)
     g = fit_rates(cut(domain_posteriors(rows, model), "posteriors"), [targets[d] for d in DOMAINS])
@@ -190,7 +192,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
         own = Softmax(1)
         own.bias, own.weight = sent.value
         for batch in batches:
-            p = [own.posteriors(x) for x in features(batch.column(text))]
+            p = [own.posteriors(x) for x in features(batch.column(text), STEMS)]
             if p:
                 ids = batch.column(doc_id).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
                 yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), _copies(_rates(np.concatenate(p), g), ids, snap))))

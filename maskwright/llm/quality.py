@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.features import SIZE, Adam, Sparse, batches_of, features, stacked
-from maskwright.llm.shared import text_of
+from maskwright.llm.shared import small_batches, text_of
 
 FACTORS, MAX_LABELLED, THRESHOLD = 8, 12_000, 0.3
 
@@ -61,7 +61,7 @@ def held_out(doc_id):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def sample_features(docs: DataFrame, marks: DataFrame, limit: int) -> list:
+def sample_features(docs: DataFrame, marks: DataFrame, limit: int, stems: tuple[int, ...] = ()) -> list:
     """(label, index, value) of at most ``limit`` labelled documents, those with the smallest hash of their id.
 
     marks: (doc_id, label), one row for each id. The chosen ids are at most ``limit`` longs, so they may be broadcast.
@@ -71,7 +71,7 @@ def sample_features(docs: DataFrame, marks: DataFrame, limit: int) -> list:
     def run(batches):
         for batch in batches:
             labels, at = batch.column(0).to_numpy(zero_copy_only=False), 0
-            for x in features(batch.column(1)):
+            for x in features(batch.column(1), stems):
                 rows = [{"label": int(labels[at + d]), "index": x.index[x.bound[d] : x.bound[d + 1]], "value": x.value[x.bound[d] : x.bound[d + 1]]} for d in range(len(x))]
                 at += len(x)
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -109,6 +109,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     Null texts count as empty; empty texts are scored by their statistics; null ids stay null and count as not held
     out; repeated rows get equal scores; other columns are not read; without labels every text has a score of 0.5.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     sent = _sent(rows, labels, max_labelled)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -139,6 +140,7 @@ def _received(sent) -> FactorisationMachine:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score ``threshold`` or more (see quality_scores)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     sent = _sent(rows, labels, max_labelled)
 
