@@ -100,8 +100,8 @@ def features(texts: pa.Array, stems: tuple[int, ...] = ()) -> Iterator[Sparse]:
 def stacked(rows: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
     """Rows from lists of (index, value)."""
     bound = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows])]).astype(np.int64)
-    index = np.concatenate([i for i, _ in rows]).astype(np.int64)
-    value = np.concatenate([v for _, v in rows]).astype(np.float32)
+    index = np.concatenate([i for i, _ in rows]).astype(np.int32, copy=False)
+    value = np.concatenate([v for _, v in rows]).astype(np.float32, copy=False)
     return Sparse(bound, index, value, np.zeros(len(rows), np.int64))
 
 

@@ -9,6 +9,8 @@ reach the driver; scoring is one pass over the corpus without a shuffle.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,16 +85,21 @@ def sample_features(docs: DataFrame, marks: DataFrame, limit: int, stems: tuple[
 
 
 def read_sample(batches: list) -> tuple[Sparse, np.ndarray]:
+    """The sample's rows and labels. Empties the list: the driver holds each batch once."""
     rows, labels = [], []
-    for b in batches:
+    while batches:
+        b = batches.pop()
         labels.append(b.column(0).to_numpy(zero_copy_only=False))
         for i, v in zip(b.column(1), b.column(2)):
-            rows.append((i.values.to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False)))
+            rows.append((i.values.to_numpy(zero_copy_only=False).astype(np.int32), v.values.to_numpy(zero_copy_only=False).astype(np.float32)))
     if not rows:
-        return Sparse(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64)), np.zeros(0)
+        return Sparse(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64)), np.zeros(0)
     # in an order of their own, so that the fit doesn't depend on the order in which partitions arrive
-    order = sorted(range(len(rows)), key=lambda k: (len(rows[k][0]), rows[k][0].tobytes()))
-    return stacked([rows[k] for k in order]), np.concatenate(labels)[order]
+    order = sorted(range(len(rows)), key=lambda k: (len(rows[k][0]), zlib.crc32(rows[k][0])))
+    x = stacked([rows[k] for k in order])
+    rows.clear()
+    pa.default_memory_pool().release_unused()
+    return x, np.concatenate(labels)[order]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> FactorisationMachine:
