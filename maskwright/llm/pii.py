@@ -2,7 +2,7 @@
 
 Base spans (fixed rules, see ``base_spans``) are the seeds. Every identifier-like span, base or not, is an occurrence
 of an instance (its value) under lexical patterns: the word before it or the word after it, with the span's
-shape. Spark scores the graph of patterns and instances in rounds:
+shape (with an at sign, with letters, or digits only). Spark scores the graph of patterns and instances in rounds:
 
     confidence(pattern, kind) = sum of its instances' scores / (occurrences + 2) * specificity(word)
     score(instance, kind)     = 1 - product over its patterns of (1 - confidence)        (seeds stay at 1)
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import textkit
-from maskwright.llm.shared import cut, text_of
+from maskwright.llm.shared import cut, small_batches, text_of
 
 #: Kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -76,8 +76,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(value: str) -> str:
-    """Letters as a, digits as 9, runs as one; the length by powers of two."""
-    return re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", value[:64])) + f"/{len(value).bit_length()}"
+    """``@`` with an at sign, ``9`` for digits and punctuation only, ``a`` with letters."""
+    return "@" if "@" in value else "a" if any(c.isalpha() for c in value) else "9"
 
 
 def _word_before(text: str, at: int) -> str:
@@ -152,14 +152,35 @@ def _find(schema: pa.Schema):
     return run
 
 
+_HELD = 1 << 18
+
+
 def _count_words(bits: bytes, schema: pa.Schema):
+    """(word, uses) of the words whose bit is set: one row for each word and task, or a few if a task has very many."""
+
+    def summed(parts):
+        words, own = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+        return words, np.bincount(own, np.concatenate([n for _, n in parts]), len(words)).astype(np.int64)
+
+    def rows(words, n):
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], schema=schema)
+
     def run(batches):
         near = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+        parts, size = [], 0
         for batch in batches:
-            for w in textkit.words(batch.column(0), 4 << 20):
-                h = w.hash[near[w.hash & np.uint64((1 << _BITS) - 1)]]
-                values, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], schema=schema)
+            for w in textkit.words(batch.column(0)):
+                words, n = np.unique(w.hash[near[w.hash & np.uint64((1 << _BITS) - 1)]], return_counts=True)
+                parts.append((words, n))
+                size += len(words)
+                if size > _HELD:
+                    parts = [summed(parts)]
+                    size = len(parts[0][0])
+                    if size > _HELD // 2:
+                        yield rows(*parts[0])
+                        parts, size = [], 0
+        if size:
+            yield rows(*summed(parts))
 
     return run
 
@@ -181,6 +202,7 @@ def personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, accept:
     count as empty and have no span; null ids stay null; repeated rows are reported one by one but count as evidence as
     often as they occur; other columns are not read; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())])
     item = pa.struct([*span, pa.field("value", pa.int64()), pa.field("before", pa.int64()), pa.field("after", pa.int64()), pa.field("shape", pa.string())])
@@ -193,6 +215,9 @@ def personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, accept:
     edges = one.select("key", "start", "end", "kind", "value", "shape", F.explode(beside).alias("c")).select("*", "c.*").filter("word <> 0")
     edges = edges.groupBy("side", "word", "shape", "value").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
     edges = cut(edges, "edges")
+    by = ["side", "word", "shape"]
+    # a pattern needs so many different values, whatever their scores: the others can't count in any round
+    edges = cut(edges.join(edges.groupBy(*by).count().filter(F.col("count") >= min_seeds).select(*by), by, "left_semi"), "patterns")
     total = pa.schema([("word", pa.int64()), ("uses", pa.int64())])
     uses = rows.select("text").mapInArrow(_count_words(_bitmap(edges), total), "word long, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
     near = edges.groupBy("word").agg(F.sum("n").alias("near"))
@@ -201,7 +226,6 @@ def personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, accept:
 
     seeds = edges.filter("kind >= 0").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     scores = seeds
-    by = ["side", "word", "shape"]
     all_n = edges.groupBy(*by).agg(F.sum("n").alias("all_n"))
     for _ in range(rounds):
         scored = edges.drop("kind").join(scores, "value")
