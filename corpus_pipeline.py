@@ -6,6 +6,8 @@ returns packed rows. Null ids and texts, repeated rows, and empty tables are tre
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,35 +16,59 @@ from maskwright.llm.mixing import mixed
 from maskwright.llm.near_dedup import near_groups
 from maskwright.llm.packing import pack_tokens
 from maskwright.llm.quality import accepted
-from maskwright.llm.shared import cut
+from maskwright.llm.shared import cut, forget_paths, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BEFORE: dict[str, set[str]] = {}
+
+
+def _stage(work):
+    """A stage: what the one before it wrote by the way is deleted, as its result has been written by now."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app, now = spark.sparkContext.applicationId, written(spark)
+        if work.__name__ != "quality":
+            own = {p for p in now - _BEFORE.get(app, now) if not p.rpartition("/")[2].startswith("stage-")}
+            forget_paths(spark, own)
+            now -= own
+        _BEFORE[app] = now
+        return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score 0.3 or more)."""
     return accepted(docs, _table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest id."""
     dropped = near_groups(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
     leaking = leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture wants them: clean ones once, toxic ones hardly ever."""
     return mixed(docs, _table(spark, sf_dir, "labels"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed rows of token ids."""
     return pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))

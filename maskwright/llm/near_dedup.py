@@ -5,11 +5,12 @@ A document is the set of its distinct five-word shingles. Register i of its sket
 the shingle: exponentially spaced truncated minima. Sketches of a union are the element-wise maximum.
 
 1. Sets that are equal (all copies) count once, under a representative. 2. Bands of ROWS registers deal the
-representatives into buckets. 3. In each bucket every member is compared with one centre, in several rounds with
-other centres, so that a bucket of n costs n comparisons a round and not n^2. 4. Pairs of a bucket which are still in
-different components are then compared as well, whatever their number. 5. A pair goes on if the joint likelihood of
-its registers allows the wanted similarity; its full sets are then intersected, which alone decides on a link.
-6. Components of the links are found by large-star and small-star steps.
+representatives into buckets. 3. In each bucket every member is compared with one centre (in several rounds, if
+wanted, with other centres), so that a bucket of n costs n comparisons a round and not n^2. 4. Members of a bucket that
+are still in different components are then compared pair by pair, each pair in its first common band, if sizes and equal
+registers allow the similarity: no link is lost, but a group of very many texts just below it makes very many pairs.
+5. A pair goes on if the joint likelihood of its registers allows the wanted similarity; its full sets are then
+intersected, which alone decides on a link. 6. Components of the links are found by large-star and small-star steps.
 
 At similarity 0.75 a pair has no band in common with probability below 1e-5.
 """
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import textkit
-from maskwright.llm.shared import cut, id_filter, passes, text_of
+from maskwright.llm.shared import cut, forget, id_filter, passes, small_batches, text_of
 
-REGISTERS, ROWS, BASE, RATE, Q = 128, 4, 1.06, 20.0, 254
+REGISTERS, ROWS, BASE, RATE, Q = 128, 4, 1.08, 20.0, 254
 SIZE, PERCENT = 5, 75
 _RANDOM = np.random.default_rng(1)
 _XOR = _RANDOM.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -141,11 +142,18 @@ def _confirm(percent: int, schema: pa.Schema):
     return run
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _is_star(edges: DataFrame) -> bool:
+    """Whether each node points to one other, which points to none: (a, b) reads "b points to a"."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(0).alias("points")).union(edges.select("b", F.lit(1)))
+    return ends.groupBy("v").agg(F.min("points").alias("x"), F.sum("points").alias("n")).filter("n > 1 or (n = 1 and x = 0)").isEmpty()
+
+
+def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable from each id in a link (a, b). Alternates large-star and small-star."""
-    edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    state = None
-    for _ in range(max_rounds):
+    edges = cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    for _ in range(most):
+        if _is_star(edges):
+            break
         # large-star: every node's greater neighbours point to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -153,14 +161,31 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small-star: a node and its lesser neighbours point to the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        edges = cut(small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+        before, edges = edges, cut(small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "stars")
+        forget(before)
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
+def _set_table(ids: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """(id, members) for each id and text; only documents that may be wanted leave the scan."""
+    schema = pa.schema([("id", pa.int64()), ("members", pa.binary())])
+    sent = texts.sparkSession.sparkContext.broadcast(id_filter(ids))
+    sets = texts.select("id", "text").mapInArrow(_whole_sets(sent, schema), "id long, members binary")
+    return cut(sets.join(ids, "id", "left_semi"), name)
+
+
+def _rest(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that still share a bucket, once each: in their first common band, and only
+    where the sizes and the number of equal registers allow the similarity (5 standard errors below it)."""
+    least = int(np.floor(REGISTERS * percent / 100 - 5 * np.sqrt(REGISTERS * percent / 100 * (1 - percent / 100))))
+    rows = open_.join(reps, "id").select("bucket", "band", "id", "component", "n", "sketch")
+    other = rows.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "sketch")])
+    earlier = f"exists(sequence(0, {REGISTERS // ROWS - 1}), j -> j < band and substring(sketch, j * {ROWS} + 1, {ROWS}) = substring(sketch2, j * {ROWS} + 1, {ROWS}))"
+    equal = f"aggregate(sequence(1, {REGISTERS}), 0, (x, i) -> x + if(substring(sketch, i, 1) = substring(sketch2, i, 1), 1, 0))"
+    wanted = f"id < id2 and component <> component2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and not {earlier} and {equal} >= {least}"
+    return rows.join(other, "bucket").filter(wanted).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
     """Pairs (a, b) of representatives that are confirmed as links on their full sets."""
     two, out = pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long"
@@ -168,15 +193,14 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, na
     likely = pairs.join(known("a"), "a").join(known("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     likely = cut(likely.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_likely(percent, two), out), f"{name}-likely")
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    schema = pa.schema([("id", pa.int64()), ("members", pa.binary())])
-    sent = texts.sparkSession.sparkContext.broadcast(id_filter(wanted))
-    sets = texts.select("id", "text").mapInArrow(_whole_sets(sent, schema), "id long, members binary")
-    sets = cut(sets.join(wanted, "id", "left_semi"), f"{name}-sets")
+    sets = _set_table(wanted, texts, f"{name}-sets")
     both = likely.join(sets.select(F.col("id").alias("a"), F.col("members").alias("m_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("m_b")), "b")
-    return cut(both.select("a", "b", "m_a", "m_b").mapInArrow(_confirm(percent, two), out), f"{name}-links")
+    found = cut(both.select("a", "b", "m_a", "m_b").mapInArrow(_confirm(percent, two), out), f"{name}-links")
+    forget(sets, likely)
+    return found
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT, rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = PERCENT, rounds: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of docs.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their full sets; component_id is the
@@ -185,6 +209,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, rounds: int = 2, doc_id
     is reported as its own component (null), its links unused; rows that repeat an id are joined in one component; other
     columns are not read; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("sketch", pa.binary())])
     known = cut(rows.mapInArrow(_sketch(schema), "doc_id long, n long, digest long, sketch binary"), "sketches")
@@ -195,32 +220,29 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, rounds: int = 2, doc_id
     texts = rows.withColumnRenamed("doc_id", "id")
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda b: F.xxhash64(b, F.call_function("substring", F.col("sketch"), b * ROWS + 1, F.lit(ROWS))))
-    banded = reps.select("id", F.explode(bands).alias("bucket"))
+    banded = reps.select("id", F.posexplode(bands).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("bucket")
     members = cut(banded.join(shared, "bucket"), "members")
     # an id that is repeated with other texts ties their sets together
     owned = ids.join(owners, ["digest", "n"]).select("doc_id", "id")
     several = owned.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z")
     links = cut(owned.join(several, "doc_id").select("a", F.col("id").alias("b")).filter("a <> b").distinct(), "tied")
-    done, open_ = None, members.select("bucket", "id", F.col("id").alias("component"))
+    done, label, open_ = None, None, members.select("bucket", "band", "id", F.col("id").alias("component"))
     for k in range(rounds + 1):
         if k < rounds:
             # every member of a bucket meets one centre, another one in each round
             centre = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "component")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.component").alias("of"))
             met = open_.join(centre, "bucket").filter("component <> of").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
         else:
-            # whatever a bucket still holds in different components is compared pair by pair
-            other = open_.select("bucket", F.col("id").alias("id2"), F.col("component").alias("component2"))
-            met = open_.join(other, "bucket").filter("id < id2 and component <> component2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+            met = _rest(open_, reps, percent)
         pairs = met.distinct() if done is None else met.distinct().join(done, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         found = _links(pairs, reps, texts, percent, f"round{k}")
-        links = links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
-        label = components(links)
+        label = components(found.unionByName(links if label is None else label.select(F.col("component").alias("a"), F.col("id").alias("b"))))
         if k == rounds:
             break
-        labelled = members.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        labelled = members.join(label, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
         open_ = cut(labelled.join(mixed, "bucket"), "open")
 

@@ -41,7 +41,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written and that nothing still to be computed reads."""
+    for table in tables:
+        _delete(table.sparkSession, table.written_to)
+
+
+def written(spark: SparkSession) -> set[str]:
+    """Paths of the tables of this application."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {e.getPath().toString() for e in fs.listStatus(root)} if fs.exists(root) else set()
+
+
+def forget_paths(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths:
+        _delete(spark, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
