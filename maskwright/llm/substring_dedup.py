@@ -9,7 +9,7 @@ the windows of its own rows, so that a passage which very many documents hold is
 3. Windows of a group are joined to the one of the smallest id where their spans around c overlap by ``least`` words. Pairs
 of documents that meet under enough hash functions are candidates.
 4. Candidates are verified on their words around the windows: passages of ``least`` words or more whose shingle sets have
-a similarity of ``percent`` or more.
+a similarity of ``percent`` or more, also within a looser alignment.
 
 No pairs within a group are made: a passage that n documents hold gives n - 1 rows, each with an earlier document (the
 first of its task, and the first of all for those).
@@ -211,11 +211,36 @@ def _places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         own = order[low[i] : high[i]]
         k = min(int(np.searchsorted(own, i + best)), len(own) - 1)
         place[i] = own[k - 1] if k and abs(own[k - 1] - i - best) <= abs(own[k] - i - best) else own[k]
+    # a shingle of several places follows its neighbour's, or an equal passage would be torn there
+    several = np.flatnonzero(many > 1)
+    for i in several:
+        if i and 0 <= place[i - 1] < len(b) - 1 and b[place[i - 1] + 1] == a[i]:
+            place[i] = place[i - 1] + 1
+    for i in several[::-1]:
+        if i + 1 < len(a) and place[i + 1] > 0 and b[place[i + 1] - 1] == a[i] and not (i and place[i - 1] >= 0 and place[i] == place[i - 1] + 1):
+            place[i] = place[i + 1] - 1
     return place
 
 
+def _longest(at: np.ndarray, to: np.ndarray, least: int, percent: int) -> tuple[int, int] | None:
+    """(first, last) of the longest stretch of matches that reaches percent and ``least`` shingles, by places: with m
+    matches, (100 + percent) m >= percent * (places in both texts). None if there is none."""
+    n = len(at)
+    value = (100 + percent) * np.arange(n) - percent * (at + to)
+    gain = 100 + percent - 2 * percent
+    # the last match from which on the value is as high as wanted: by the highest value from each match on
+    top = np.maximum.accumulate(value[::-1])[::-1]
+    last = n - 1 - np.searchsorted(top[::-1], value - gain, side="left")
+    length = np.minimum(at[last] - at, to[last] - to) + 1
+    i = int(length.argmax())
+    return (i, int(last[i])) if length[i] >= least else None
+
+
 def passages(mine: np.ndarray, other: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, other's start, other's end, similarity) in words: passages of ``mine`` that ``other`` holds too."""
+    """(start, end, other's start, other's end, similarity) in words: passages of ``mine`` that ``other`` holds too.
+
+    A run of shared shingles that is less similar than ``percent`` is taken apart: its longest stretch that reaches
+    percent is a passage, and so on with what lies on both sides of it."""
     from maskwright.llm.decontaminate import grams
 
     a, b = grams(mine, SIZE), grams(other, SIZE)
@@ -226,7 +251,11 @@ def passages(mine: np.ndarray, other: np.ndarray, least: int, percent: int) -> l
         return out
     # a new passage begins after two edits' worth of strange shingles, or where the other text jumps as far
     jump = (np.diff(at) > 2 * SIZE + 2) | (np.abs(np.diff(place[at]) - np.diff(at)) > 2 * SIZE + 2)
-    for run in np.split(at, np.flatnonzero(jump) + 1):
+    left = np.split(at, np.flatnonzero(jump) + 1)[::-1]
+    while left:
+        run = left.pop()
+        if not len(run):
+            continue
         start, end = int(run[0]), int(run[-1]) + SIZE
         low, high = int(place[run].min()), int(place[run].max()) + SIZE
         if end - start < least or high - low < least:
@@ -235,6 +264,14 @@ def passages(mine: np.ndarray, other: np.ndarray, least: int, percent: int) -> l
         both = len(np.intersect1d(s, t, assume_unique=True))
         if 100 * both >= percent * (len(s) + len(t) - both):
             out.append((start, end, low, high, both / (len(s) + len(t) - both)))
+            continue
+        inner = _longest(run, place[run], least - SIZE + 1, percent)
+        if inner and inner != (0, len(run) - 1):
+            left += [run[inner[1] + 1 :], run[inner[0] : inner[1] + 1], run[: inner[0]]]
+        elif inner or len(s) < end - start - SIZE + 1 or len(t) < high - low - SIZE + 1 or (np.diff(place[run]) < 1).any():
+            # shingles that repeat or change places count otherwise in sets: parted at the worst gap
+            worst = int((np.diff(run) + np.abs(np.diff(place[run]) - 1)).argmax()) + 1
+            left += [run[worst:], run[:worst]]
     return out
 
 

@@ -461,6 +461,32 @@ def test_repeated_passages(spark):
     assert set(found) <= {i for i, k in at if k < 2} | {len(texts) - 1} and found[len(texts) - 1] == [(0, 60)]
 
 
+def test_passages_in_a_looser_alignment():
+    """Templates with many edits: each equal stretch of 50 words lies in a passage, and all passages reach 75 %."""
+    r, stretches = np.random.default_rng(3), 0
+    for trial in range(300):
+        n, share = ((250, 0.04), (300, 0.05), (500, 0.04))[trial % 3]
+        b = r.integers(1, 1 << 62, n).astype(np.uint64)
+        if trial % 2:  # words that repeat
+            b[10 * np.arange(n // 10)] = b[0]
+        edits = r.random(n) < share
+        a = np.where(edits, r.integers(1, 1 << 62, n).astype(np.uint64), b)
+        got = substring_dedup.passages(a, b, 50, 75)
+        assert all(y - x >= 50 and j >= 0.75 for x, y, _, _, j in got)
+        bounds = np.concatenate([[-1], np.flatnonzero(edits), [n]])
+        for x, y in zip(bounds[:-1] + 1, bounds[1:]):
+            if y - x >= 50:
+                stretches += 1
+                assert any(s <= x and e >= y for s, e, *_ in got), (trial, x, y, got)
+    assert stretches > 100
+    # an equal passage that holds a phrase the other text repeats very often
+    common, passage = np.arange(1, 8, dtype=np.uint64), r.integers(1, 1 << 62, 50).astype(np.uint64)
+    passage[20:27] = common
+    fresh = lambda k: r.integers(1, 1 << 62, k).astype(np.uint64)
+    other = np.concatenate([*[x for _ in range(12) for x in (common, fresh(15))], passage, fresh(30)])
+    assert [(s, e) for s, e, *_ in substring_dedup.passages(np.concatenate([fresh(90), passage]), other, 50, 75)] == [(90, 140)]
+
+
 def test_passages_in_blocks(spark, monkeypatch):
     """Every block of one row: what a task joins by itself and what is dealt out give the same."""
     texts = [f"{prose(30, i)} {prose(80, 7)} {prose(30, 100 + i)}" for i in range(30)]
