@@ -6,19 +6,22 @@ Only spans of ``least`` words or more are kept: compact windows (l, c, r), about
 2. A window is filed under the shingles that follow c and those that precede it (CONTEXT of them). Of two equal passages
 of the wanted length, each hash has the same least shingle, and one side of it lies within the passage. A task first joins
 the windows of its own rows, so that a passage which very many documents hold is dealt out once a task.
-3. Windows of a group are joined to the one of the smallest id where their spans around c overlap by ``least`` words. Pairs
-of documents that meet under enough hash functions are candidates.
+3. Windows of a group are joined where their spans around c overlap by ``least`` words: a span allows passages that begin
+from one place to another before c, and for each such place the first window that allows it is a head, to which the others
+that allow it are joined. A head stands for all places of its document in the group. A window that differs from its head
+some way (DEEPER shingles) from c may share more with another one: it is filed once more under that many shingles, in a
+second round. Pairs of documents that meet under enough hash functions are candidates.
 4. Candidates are verified on their words around the windows: passages of ``least`` words or more whose shingle sets have
 a similarity of ``percent`` or more, also within a looser alignment.
 
-No pairs within a group are made: a passage that n documents hold gives n - 1 rows, each with an earlier document (the
-first of its task, and the first of all for those).
+No pairs within a group are made: a passage that n documents hold gives n - 1 rows, each with an earlier document.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from maskwright.llm import textkit
 from maskwright.llm.shared import cut, id_filter, passes, small_batches, text_of
 
 HASHES, ENOUGH, CONTEXT, SIZE = 3, 2, 12, 5
+DEEPER = (18, 24, 30, 36, 42)
 LEAST_WORDS, PERCENT = 50, 75
 BLOCK_ROWS = 1 << 18
 _RANDOM = np.random.default_rng(5)
@@ -48,19 +52,21 @@ def compact_windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
-def _contexts(values: np.ndarray) -> np.ndarray:
-    """Hash of the CONTEXT shingles from each place on (by prefix sums; places too near the end are cut off)."""
+def _contexts(values: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size, the hash of that many shingles from each place on (by prefix sums; places too near the end are cut off)."""
     n = len(values)
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, textkit._BASE)]), dtype=np.uint64)
     back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BACK)]), dtype=np.uint64)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(values * power[:n], dtype=np.uint64)])
-    return textkit.mix((sums[CONTEXT:] - sums[:-CONTEXT]) * back[: n - CONTEXT + 1]) if n >= CONTEXT else np.zeros(0, np.uint64)
+    return [textkit.mix((sums[k:] - sums[:-k]) * back[: n - k + 1]) if n >= k else np.zeros(0, np.uint64) for k in sizes]
 
 
 def _filed(w: textkit.Words, ids: np.ndarray, least: int):
-    """Columns key, id, c, left, right, mask of the windows of a slice, under both sides."""
+    """Columns key, id, c, left, right, mask, deep of the windows of a slice, under both sides; the i-th 12 bits of deep are a
+    hash of DEEPER[i] shingles on that side, 0 if the text ends before."""
     values, bounds = textkit.shingles(w, SIZE)
-    ahead = _contexts(values)
+    ahead, *deeper = _contexts(values, (CONTEXT, *DEEPER))
+    deeper = [(x % np.uint64(4095)).astype(np.int64) + 1 for x in deeper]
     hashed = [((values ^ x) * f) >> np.uint64(32) for x, f in zip(_XOR, _FACTOR)]
     hashed = [h.astype(np.uint32) for h in hashed]
     rows: list[np.ndarray] = []
@@ -80,20 +86,18 @@ def _filed(w: textkit.Words, ids: np.ndarray, least: int):
             at = a + c - side * (CONTEXT - 1)
             ok = (at >= a) & (at + CONTEXT <= b)
             key = textkit.mix(ahead[at[ok]] + np.uint64(side + 1)).view(np.int64)
-            rows.append(np.column_stack([key, np.full(len(key), ids[d]), c[ok], rest[ok]]))
-    return np.concatenate(rows) if rows else np.zeros((0, 6), np.int64)
+            deep = np.zeros(len(key), np.int64)
+            for i, size in enumerate(DEEPER):
+                at = a + c[ok] - side * (size - 1)
+                whole = np.flatnonzero((at >= a) & (at + size <= b))
+                deep[whole] |= deeper[i][at[whole]] << 12 * i
+            rows.append(np.column_stack([key, np.full(len(key), ids[d]), c[ok], rest[ok], deep]))
+    return np.concatenate(rows) if rows else np.zeros((0, 7), np.int64)
 
 
-_COLUMNS = ("key", "id", "c", "left", "right", "mask")
-_DEALT = "key long, id long, c int, left int, right int, mask int, id2 long, c2 int"
-_DEALT_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), *[(n, pa.int32()) for n in ("c", "left", "right", "mask")], ("id2", pa.int64()), ("c2", pa.int32())])
-
-
-def _joined(rows: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
-    """Links of rows (sorted by key, id, c) to the first row of their key: which rows are links to another document."""
-    head = rows[first]
-    span = np.minimum(rows[:, 3], head[:, 3]) + np.minimum(rows[:, 4], head[:, 4]) + 1
-    return (rows[:, 1] != head[:, 1]) & (span >= least) & (rows[:, 5] & head[:, 5] > 0)
+_DEALT = "key long, id long, c int, left int, right int, mask int, deep long, id2 long, c2 int"
+_DEALT_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), *[(n, pa.int32()) for n in ("c", "left", "right", "mask")], ("deep", pa.int64()), ("id2", pa.int64()), ("c2", pa.int32())])
+_LATER = -1  # deep of rows filed for the second round
 
 
 def _heads(keys: np.ndarray) -> np.ndarray:
@@ -102,15 +106,65 @@ def _heads(keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))
 
 
+def _allowed(rows: np.ndarray, least: int) -> np.ndarray:
+    """For each hash of a row, bits of how far before c a passage of ``least`` shingles may begin. Two spans overlap by
+    ``least`` where they have a bit in common (beyond 64 shingles, where they may)."""
+    scale = max(64, least)
+    low, high = (np.clip(x, 0, least - 1) * 64 // scale for x in (least - 1 - rows[:, 4], rows[:, 3]))
+    one, full = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+    bits = (full >> (np.uint64(63) - high.astype(np.uint64))) & ~((one << low.astype(np.uint64)) - one)
+    return np.where((rows[:, 5][:, None] >> np.arange(HASHES)) & 1 > 0, bits[:, None], np.uint64(0))
+
+
+def _grouped(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, head, kept) of rows sorted by key, id, c: places of links, and which rows stand for the others.
+
+    Each bit that a row allows is that of some head: the first row of the key that allows it."""
+    kept = np.zeros(len(rows), bool)
+    allowed = _allowed(rows, least)
+    other = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+    start = np.flatnonzero(np.concatenate([[True], other])) if len(rows) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(rows)) - 1
+    own = np.searchsorted(start, np.arange(len(rows)), side="right") - 1
+    left, links, heads = np.arange(len(rows)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left):
+        head = left[_heads(rows[left, 0])]
+        kept[head] = True
+        link = ((allowed[left] & allowed[head]) > 0).any(axis=1) & (own[left] != own[head])
+        links.append(left[link])
+        heads.append(head[link])
+        # what a head covers is covered for all rows of the key
+        mine = allowed[head]
+        allowed[left] &= ~mine
+        left = left[allowed[left].any(axis=1)]
+    link, head = np.concatenate(links), np.concatenate(heads)
+    # all places of the head's document in the group, by the first and the last of them
+    first, last = start[own], end[own]
+    many = kept & (first < last)
+    kept[first[many]] = kept[last[many]] = True
+    more = first[head] < last[head]
+    return np.concatenate([link, link[more]]), np.concatenate([first[head], last[head][more]]), kept
+
+
+def _later(rows: np.ndarray, link: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Rows for the second round: those linked to a head, once for each of DEEPER by which they differ from it."""
+    out = []
+    for i in range(len(DEEPER)):
+        mine, its = (rows[x, 6] >> 12 * i & 4095 for x in (link, head))
+        some = np.unique(link[(mine != its) & (mine > 0)])
+        more = rows[some]
+        upto = (rows[some, 6] & ((1 << 12 * (i + 1)) - 1)).astype(np.uint64)
+        more[:, 0] = textkit.mix(rows[some, 0].astype(np.uint64) + textkit.mix(upto + np.uint64(i + 1 << 60))).view(np.int64)
+        more[:, 6] = _LATER
+        out.append(more)
+    return np.concatenate(out)
+
+
 def _local(rows: np.ndarray, least: int):
-    """(rows to be dealt, links): a row whose key another row of this block has goes on as a link, or not at all."""
+    """(rows to be dealt, links): a row whose places other rows of this block allow goes on as a link, or not at all."""
     rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-    first = _heads(rows[:, 0])
-    is_head = first == np.arange(len(rows))
-    link = _joined(rows, first, least)
-    # a row that could not be joined to its head (their spans differ) is dealt out, if of another document
-    lone = ~link & ~is_head & (rows[:, 1] != rows[first, 1])
-    return rows[is_head | lone], rows[link], rows[first[link]]
+    link, head, kept = _grouped(rows, least)
+    return np.concatenate([rows[kept], _later(rows, link, head)]), rows[link], rows[head]
 
 
 def _batch(dealt: np.ndarray, link: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
@@ -120,7 +174,7 @@ def _batch(dealt: np.ndarray, link: np.ndarray, head: np.ndarray) -> pa.RecordBa
     both = np.concatenate([dealt, link])
     mask = np.concatenate([dealt[:, 5], link[:, 5] & head[:, 5]])
     blank = np.arange(n + m) < n
-    arrays = [key, both[:, 1], *[x.astype(np.int32) for x in (both[:, 2], both[:, 3], both[:, 4], mask)]]
+    arrays = [key, both[:, 1], *[x.astype(np.int32) for x in (both[:, 2], both[:, 3], both[:, 4], mask)], np.concatenate([dealt[:, 6], np.zeros(m, np.int64)])]
     columns = [pa.array(x) for x in arrays]
     columns.append(pa.array(np.concatenate([np.zeros(n, np.int64), head[:, 1]]), mask=blank))
     columns.append(pa.array(np.concatenate([np.zeros(n, np.int64), head[:, 2]]).astype(np.int32), mask=blank))
@@ -145,27 +199,49 @@ def _windows(least: int):
     return run
 
 
-_PAIR_ARROW = pa.schema([("id", pa.int64()), ("c", pa.int32()), ("id2", pa.int64()), ("c2", pa.int32()), ("mask", pa.int32())])
+def _split(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.RecordBatch]:
+    """(rows, links) of a dealt batch."""
+    known = batch.column("id2").is_valid()
+    rows = batch.filter(pa.compute.invert(known))
+    return np.column_stack([rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(7)]), batch.filter(known)
+
+
+def _again(least: int):
+    """The second round: the rows filed for it, joined within the task as windows are; links pass through."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            rows, links = _split(batch)
+            yield links
+            rows[:, 6] = 0
+            held.append(rows)
+            size += len(rows)
+            if size >= BLOCK_ROWS:
+                yield _batch(*_local(np.concatenate(held), least))
+                held, size = [], 0
+        if size:
+            yield _batch(*_local(np.concatenate(held), least))
+
+    return run
 
 
 def _pairs(least: int):
-    """Links from rows sorted by key: only the first row of the present key is held."""
+    """Links, and rows for the second round, from rows sorted by key: only the heads of the present key are held."""
 
     def run(batches):
-        held = np.zeros((0, 6), np.int64)
+        held = np.zeros((0, 7), np.int64)
         for batch in batches:
-            known = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
-            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(6)])
-            parts = [rows[known][:, [1, 2]], *(np.array(batch.column(c).drop_null().to_numpy(zero_copy_only=False)).astype(np.int64)[:, None] for c in (6, 7)), rows[known][:, [5]]]
-            out = [np.column_stack(parts)]
-            own = np.concatenate([held, rows[~known]])
+            rows, links = _split(batch)
+            yield links
+            later = rows[:, 6] == _LATER
+            own = np.concatenate([held, rows[~later]])
+            link, head, kept = _grouped(own, least)
+            new = (link >= len(held)) | (head >= len(held))
+            link, head = link[new], head[new]
+            yield _batch(np.concatenate([rows[later], _later(own, link, head)]), own[link], own[head])
             if len(own):
-                first = _heads(own[:, 0])
-                link = _joined(own, first, least)
-                out.append(np.column_stack([own[link][:, [1, 2]], own[first[link]][:, [1, 2]], (own[link, 5] & own[first[link], 5])]))
-                held = own[first[-1:]]
-            both = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, i].astype(t.type.to_pandas_dtype())) for i, t in enumerate(_PAIR_ARROW)], schema=_PAIR_ARROW)
+                held = own[kept & (own[:, 0] == own[-1, 0])]
 
     return run
 
@@ -296,7 +372,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     """A row for each passage of a document that an earlier one (by id) holds as well, equal or nearly so.
 
     ``doc_id, first_doc_id, start_word, end_word, first_start_word, first_end_word, similarity``: words are counted from
-    0, ends exclusive. Passages within one document are not reported. Null, empty and short texts have none; rows of a
+    0, ends exclusive; of several earlier documents found, the most similar is named. Passages within one document are not reported. Null, empty and short texts have none; rows of a
     null id are left out; rows that repeat an id count as one document, each with its own words; other columns are
     not read; an empty table gives no rows.
     """
@@ -304,7 +380,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     least = least_words - SIZE + 1
     rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text"))
     dealt = rows.mapInArrow(_windows(least), _DEALT).repartition("key").sortWithinPartitions("key", "id", "c")
-    links = dealt.mapInArrow(_pairs(least), "id long, c int, id2 long, c2 int, mask int")
+    dealt = dealt.mapInArrow(_pairs(least), _DEALT).mapInArrow(_again(least), _DEALT).repartition("key").sortWithinPartitions("key", "id", "c")
+    links = dealt.mapInArrow(_pairs(least), _DEALT).filter("id2 is not null")
     low, high = F.least("id", "id2"), F.greatest("id", "id2")
     mine, other = F.when(F.col("id") == high, F.col("c")).otherwise(F.col("c2")), F.when(F.col("id") == high, F.col("c2")).otherwise(F.col("c"))
     links = links.select(high.alias("id"), low.alias("id2"), mine.alias("c"), other.alias("c2"), "mask")
@@ -324,4 +401,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     parts = cut(words.join(ends, "id").select("pair", "side", at.alias("at"), part.alias("part")), "passage-parts")
     both = pairs.select("pair", "id", "id2").join(parts.filter("side = 0").drop("side"), "pair").join(parts.filter("side = 1").select("pair", F.col("at").alias("at2"), F.col("part").alias("part2")), "pair")
     result = pa.schema([("doc_id", pa.int64()), ("first_doc_id", pa.int64()), *[(n, pa.int32()) for n in ("start_word", "end_word", "first_start_word", "first_end_word")], ("similarity", pa.float64())])
-    return both.select("id", "id2", "at", "part", "at2", "part2").mapInArrow(_verify(least_words, percent, result), _RESULT)
+    found = both.select("id", "id2", "at", "part", "at2", "part2").mapInArrow(_verify(least_words, percent, result), _RESULT)
+    # several heads may lead to several earlier documents: the most similar one, of these the first, stands for them
+    rest = ("first_doc_id", "first_start_word", "first_end_word", "similarity")
+    best = found.groupBy("doc_id", "start_word", "end_word").agg(F.max_by(F.struct(*rest), F.struct("similarity", -F.col("first_doc_id"), "first_start_word")).alias("b"))
+    return best.select("doc_id", "b.first_doc_id", "start_word", "end_word", "b.first_start_word", "b.first_end_word", "b.similarity")

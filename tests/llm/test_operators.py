@@ -499,6 +499,41 @@ def test_passages_in_blocks(spark, monkeypatch):
     assert all(first[d] < d for d in first) and set(first) == set(range(1, 30))
 
 
+def test_passages_past_a_fragment(spark):
+    """The smallest id holds a part of a passage; others that share all of it still meet, as do documents that hold the part first."""
+    texts, wanted = [], []
+    for k in range(60):
+        n, part = ((50, 40), (60, 49), (60, 40))[k % 3]
+        passage = prose(n, 3000 + k).split()
+        at = (n - part) * (k // 3 % 2)
+        fragment = " ".join(passage[at : at + part])
+        hub = f"{prose(70, 4000 + k)} {fragment} {prose(70, 5000 + k)}"
+        if k % 4 == 3:  # the smallest id holds all of it too, but later
+            hub += f" {' '.join(passage)} {prose(70, 6000 + k)}"
+        texts += [hub, *(f"{prose(70, 7000 + 10 * k + j)} {' '.join(passage)} {prose(70, 8000 + 10 * k + j)}" for j in range(2))]
+        wanted.append([3 * k + 2, 3 * k + 1] if k % 4 != 3 else [3 * k + 1, 3 * k])
+        wanted += [[3 * k + 2, 3 * k + 1]] * (k % 4 != 3) + [[3 * k + 2, 3 * k]] * (k % 4 == 3)
+    found = {(x["doc_id"], x["first_doc_id"]) for x in substring_dedup.repeated_passages(docs(spark, texts)).collect()}
+    missed = [w for w in wanted if tuple(w) not in found]
+    assert len(missed) <= 0.03 * len(wanted), missed
+
+
+def test_windows_meet():
+    """Rows of a key that allow a passage in common are linked, directly or by heads."""
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        n, least = int(r.integers(2, 30)), 46
+        left = r.integers(0, 60, n)
+        rows = np.column_stack([np.zeros(n), np.arange(n), np.zeros(n), left, np.maximum(0, least - 1 - left) + r.integers(0, 15, n), r.integers(1, 8, n), np.zeros(n)]).astype(np.int64)
+        link, head, kept = substring_dedup._grouped(rows, least)
+        assert kept[head].all()
+        for j in range(3):
+            for place in range(least):
+                has = (rows[:, 3] >= place) & (rows[:, 4] >= least - 1 - place) & (rows[:, 5] >> j & 1 > 0)
+                first = int(has.argmax())
+                assert all(((link == x) & (head == first)).any() for x in np.flatnonzero(has) if x != first)
+
+
 def test_passages_odd(spark):
     got = substring_dedup.repeated_passages(odd(spark)).collect()
     assert {(x["doc_id"], x["first_doc_id"]) for x in got} == {(6, 5)} and substring_dedup.repeated_passages(docs(spark, [])).count() == 0
