@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.errors import VaultError
 from maskwright.functions.keys import TOKEN_CHARS
 
 MOST_LITERALS = 2000
@@ -41,9 +41,11 @@ def reverse(df: DataFrame, records: DataFrame, columns: list[str] | None = None)
 
 def _embedded(df: DataFrame, inside: DataFrame, columns: list[str]) -> DataFrame:
     """Tokens inside texts: their shapes are cut out, looked up by a join and put back in place."""
-    prefixes = [r[0] for r in inside.select(F.regexp_replace("token", f"{_HEX}$", "").alias("p")).distinct().limit(MOST_LITERALS).collect()]
+    prefixes = [r[0] for r in inside.select(F.regexp_replace("token", f"{_HEX}$", "").alias("p")).distinct().limit(MOST_LITERALS + 1).collect()]
     if not prefixes:
         return df
+    if len(prefixes) > MOST_LITERALS:
+        return _stitched(df, inside, columns)
     some = "|".join(re.escape(p) for p in sorted(prefixes, key=len, reverse=True) if p)
     shape = f"(?:{some})?{_HEX}" if some else _HEX
     df = df.withColumn("§id", F.monotonically_increasing_id())
@@ -63,7 +65,7 @@ def _literal(df: DataFrame, inside: DataFrame, columns: list[str]) -> DataFrame:
     """Mocks inside texts have no shape of their own: they are replaced as literals, the longest first."""
     pairs = inside.limit(MOST_LITERALS + 1).collect()
     if len(pairs) > MOST_LITERALS:
-        raise VaultError(f"more than {MOST_LITERALS} mocks: reverse them by a join on the mocked value")
+        return _stitched(df, inside, columns)
     if not pairs:
         return df
     known = dict(sorted(((r["token"], r["original"]) for r in pairs), key=lambda p: -len(p[0])))
@@ -77,6 +79,45 @@ def _literal(df: DataFrame, inside: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+_BLOCK = 100_000
+
+
+def _substrings(sizes: list[int]):
+    """(id, place from 1, size, substring) of all substrings of these sizes: cut in Python, as a text is not copied for each."""
+
+    def run(batches):
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for size in sizes:
+                    for low in range(0, len(text) - size + 1, _BLOCK):
+                        at = range(low, min(low + _BLOCK, len(text) - size + 1))
+                        columns = [pa.array([key] * len(at), pa.int64()), pa.array([i + 1 for i in at], pa.int32()), pa.array([size] * len(at), pa.int32()), pa.array([text[i : i + size] for i in at], pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["§id", "at", "size", "token"])
+
+    return run
+
+
+def _stitched(df: DataFrame, inside: DataFrame, columns: list[str]) -> DataFrame:
+    """Any number of literals: all substrings as long as one of them are looked up by a join; from the left, the longest
+    that begins at a place is replaced."""
+    one = inside.filter("token <> ''").groupBy("token").agg(F.min("original").alias("original"))
+    sizes = [r[0] for r in one.select(F.length("token")).distinct().collect()]
+    if not sizes:
+        return df
+    df = df.withColumn("§id", F.monotonically_increasing_id())
+    for c in columns:
+        text = F.col(f"`{c}`")
+        parts = df.filter(F.length(text) >= min(sizes)).select("§id", text.alias("text")).mapInArrow(_substrings(sorted(sizes)), "`§id` long, at int, size int, token string")
+        hits = parts.join(one, "token")
+        hits = hits.groupBy("§id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "original"))).alias("§h"))
+        df = df.join(hits, "§id", "left")
+        none = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+        put = lambda s, h: F.when(h["at"] < s["at"], s).otherwise(F.struct((h["at"] - h["less"]).alias("at"), F.concat(s["out"], F.substring(text, s["at"], h["at"] - s["at"]), h["original"]).alias("out")))
+        back = F.aggregate("§h", none, put, lambda s: F.concat(s["out"], F.substring(text, s["at"], F.length(text))))
+        df = df.withColumn(c, F.when(F.col("§h").isNull(), text).otherwise(back)).drop("§h")
+    return df.drop("§id")
+
+
 def export(records: DataFrame) -> DataFrame:
     """The vault as a table: domain, token, original."""
     return records.select(F.col("field").alias("domain"), "token", "original")

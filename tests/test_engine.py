@@ -314,6 +314,20 @@ def test_reverse_inside_texts(spark):
     assert [r[0] for r in reverse.reverse(made.output, made.mappings).collect()] == [r[0] for r in df.collect()]
 
 
+def test_reverse_many_mocks(spark):
+    """More mocks than fit one expression, some of which begin alike, and more prefixes of tokens."""
+    n = reverse.MOST_LITERALS + 500
+    records = spark.createDataFrame([("pattern:m", f"old{i}", f"Mock {i}") for i in range(n)] + [("pattern:m", "Mock 7", "é mock")], "field string, original string, token string")
+    rows = [("Mock 1, Mock 12 and Mock 1234xMock 9999",), ("none",), (None,), ("",), ("é mock Mock 2499",)]
+    df = spark.createDataFrame(rows, "t string")
+    want = ["old1, old12 and old1234xold9999", "none", None, "", "Mock 7 old2499"]
+    assert [r[0] for r in reverse.reverse(df, records).collect()] == want
+    prefixed = spark.createDataFrame([("pattern:m", f"o{i}", f"p{i}_" + f"{i:032x}") for i in range(n)], "field string, original string, token string")
+    texts = [f"a p{i}_{i:032x}, b" for i in range(0, n, 50)]
+    got = reverse.reverse(spark.createDataFrame([(" ".join(texts),)], "t string"), prefixed).first()[0]
+    assert got == " ".join(f"a o{i}, b" for i in range(0, n, 50))
+
+
 def test_lints():
     texts = parse_policy({"version": 1, "dataset": "d", "on_unlisted": "remove", "fields": [{"name": "remark", "class": "utility"}]})
     assert [x.id for x in lint(texts)] == ["missing-key-source", "unlisted-columns-removed", "no-direct-identifiers", "no-quasi-identifiers", "free-text-without-patterns"]
