@@ -64,7 +64,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture wants them: clean ones once, toxic ones hardly ever."""
+    """Documents as often as the mixture wants them: each rate rounded by a hash of the id."""
     return mixed(docs, _table(spark, sf_dir, "labels"))
 
 

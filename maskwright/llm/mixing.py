@@ -7,8 +7,8 @@
    from a rate of 1. The projection of the optimum is r = max(0, 1 - P g) with K numbers g; a step changes g along the
    gradient, scaled by the inverse normal matrix over documents whose rate isn't 0. It needs K + K^2 sums, gathered
    by one distributed pass over (tokens, posterior). The only state is g, so a lost task is repeated alike.
-3. A rate within ``snap`` of a whole number becomes that many copies; any other rate is rounded up or down by a hash of
-   the id, up with the probability of its fraction.
+3. A rate is rounded up or down by a hash of the id, up with the probability of its fraction, so that the copies follow the
+   rates; a ``snap`` above 0 makes whole numbers of the rates that near to one, at the cost of the totals.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from maskwright.llm.shared import cut, small_batches, text_of
 #: Domains by (quality, toxic) of the labelled table, and the shares of tokens aimed at.
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.95, "toxic": 0.02, "junk": 0.03}
-MAX_STEPS, TOLERANCE, PULL, SNAP, STEMS = 20, 1e-5, 0.002, 0.3, (4, 5)
+MAX_STEPS, TOLERANCE, PULL, SNAP, STEMS = 20, 1e-5, 0.002, 0.0, (4, 5)
 
 
 class Softmax:

@@ -607,6 +607,19 @@ def test_rates_match_targets(spark):
     assert (copies[kind == 0] >= 1).mean() > 0.98 and (copies[kind == 1] == 0).mean() > 0.8
 
 
+def test_copies_match_targets():
+    """The rows delivered follow the fitted rates, also where these are small or near to a whole number."""
+    sizes, share = np.array([3027, 449, 504]), np.array([0.95, 0.02, 0.03])
+    kind = np.repeat(np.arange(3), sizes)
+    rate = (share / 0.95 * sizes[0] / sizes)[kind]
+    ids = np.arange(len(kind))
+    copies = mixing._copies(rate, ids, mixing.SNAP)
+    got = np.bincount(kind, copies, 3)
+    assert np.abs(got / got.sum() - share).max() < 0.01
+    for wanted in (0.2, 0.75, 1.25, 1.9):
+        assert abs(mixing._copies(np.full(20_000, wanted), np.arange(20_000), mixing.SNAP).mean() - wanted) < 0.02
+
+
 def test_mixed_rows(spark):
     texts, marks = marked(200)
     copies = {x["doc_id"]: x["copies"] for x in mixing.mixing_rates(docs(spark, texts), labels(spark, marks)).collect()}
