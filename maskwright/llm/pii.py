@@ -2,7 +2,8 @@
 
 Base spans (fixed rules, see ``base_spans``) are the seeds. Every identifier-like span, base or not, is an occurrence
 of an instance (its value) under lexical patterns: the word before it or the word after it, with the span's
-shape (with an at sign, with letters, or digits only). Spark scores the graph of patterns and instances in rounds:
+shape (with an at sign, with letters, or digits only). Brackets, quotes and marks beside a span are passed over, and numbers
+written in groups are spans as a whole. Spark scores the graph of patterns and instances in rounds:
 
     confidence(pattern, kind) = sum of its instances' scores / (occurrences + 2) * specificity(word)
     score(instance, kind)     = 1 - product over its patterns of (1 - confidence)        (seeds stay at 1)
@@ -38,6 +39,8 @@ _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _REST = re.compile(r"[^\x20\x09-\x0D]*")
 _EDGE = ".,;:!?\"'()[]{}<>"
+_BETWEEN = frozenset(" ()/-")
+_MOST_DIGITS = 19  # of a number in groups, as of a card
 _WHITE = frozenset(" \t\n\v\f\r")
 _BITS = 20  # the bitmap of words that stand beside an identifier has 2**20 bits, whatever the input
 
@@ -81,6 +84,8 @@ def shape(value: str) -> str:
 
 
 def _word_before(text: str, at: int) -> str:
+    while at and text[at - 1] in _EDGE:
+        at -= 1
     end = at
     while end and text[end - 1] in _WHITE:
         end -= 1
@@ -91,14 +96,32 @@ def _word_before(text: str, at: int) -> str:
 
 
 def _word_after(text: str, at: int) -> str:
+    while at < len(text) and text[at] in _EDGE:
+        at += 1
     n = at
     while n < len(text) and text[n] in _WHITE:
         n += 1
     return _REST.match(text, n).group() if n > at else ""
 
 
-def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
-    """(start, end, kind or -1, word before, word after) of base spans and of other tokens with a digit or an @."""
+def _grouped_numbers(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Numbers written in groups: spans of two or more neighbours of ``found`` that are digits and punctuation only."""
+    out, start, end, groups, digits = [], 0, -1, 0, 0
+    for a, b in [*found, (len(text), len(text))]:
+        own = sum("0" <= c <= "9" for c in text[a:b]) if a < b and shape(text[a:b]) == "9" else 0
+        between = text[end:a] if groups else ""
+        if own and groups and len(between) <= 4 and _BETWEEN.issuperset(between) and digits + own <= _MOST_DIGITS:
+            end, groups, digits = b, groups + 1, digits + own
+            continue
+        if groups > 1:
+            out.append((start, end))
+        start, end, groups, digits = a, b, int(own > 0), own
+    return out
+
+
+def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, str]]:
+    """(start, end, kind or -1, word before, word after, shape) of base spans, of other tokens with a digit or an @ and of
+    numbers in groups. The groups themselves have a shape of their own: a cue beside them is one of the whole number."""
     taken = base
     found = [(a, b, k) for a, b, k in base]
     m, i = _MARK.search(text), 0
@@ -117,7 +140,10 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         if a < b and not any(s < end and e > start for s, e, _ in taken[i : i + 8]):
             found.append((a, b, -1))
         m = _MARK.search(text, end)
-    return [(a, b, k, _word_before(text, a), _word_after(text, b)) for a, b, k in sorted(found)]
+    numbers = _grouped_numbers(text, [(a, b) for a, b, k in found if k < 0])
+    within = {(a, b) for s, e in numbers for a, b, k in found if k < 0 and s <= a and b <= e} if numbers else ()
+    found += [(s, e, -1) for s, e in numbers]
+    return [(a, b, k, _word_before(text, a), _word_after(text, b), "part" if k < 0 and (a, b) in within else shape(text[a:b])) for a, b, k in sorted(found)]
 
 
 def _hashes(strings: list[str]) -> np.ndarray:
@@ -140,11 +166,11 @@ def _find(schema: pa.Schema):
                 base = base_spans(text)
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in base])
                 some = occurrences(text, base)
-                words = _hashes([w for o in some for w in o[3:]])
+                words = _hashes([w for o in some for w in o[3:5]])
                 found.append(
                     [
-                        {"start": a, "end": b, "kind": k, "value": int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), "before": int(words[2 * i]), "after": int(words[2 * i + 1]), "shape": shape(text[a:b])}
-                        for i, (a, b, k, _, _) in enumerate(some)
+                        {"start": a, "end": b, "kind": k, "value": int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), "before": int(words[2 * i]), "after": int(words[2 * i + 1]), "shape": form}
+                        for i, (a, b, k, _, _, form) in enumerate(some)
                     ]
                 )
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, schema.field(1).type), pa.array(found, schema.field(2).type)], schema=schema)
@@ -237,6 +263,10 @@ def personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, accept:
     best = scores.join(seeds.select("value"), "value", "left_anti").groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("new_kind"), F.max("score").alias("score")).filter(F.col("score") >= accept)
     more = one.filter("kind < 0").join(best, "value").groupBy("key").agg(F.collect_list(F.struct("start", "end", F.col("new_kind").alias("kind"))).alias("more"))
 
+    # a group of a number that is marked as a whole is not marked again
+    larger = lambda s, o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    more = more.withColumn("more", F.filter("more", lambda s: ~F.exists("more", lambda o: larger(s, o))))
+
     kind = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

@@ -222,6 +222,20 @@ def test_learnt_spans(spark):
     assert pii.personal_data(odd(spark)).count() == 11 and pii.personal_data(docs(spark, [])).count() == 0
 
 
+def test_learnt_spans_in_groups_and_brackets(spark):
+    r = random.Random(17)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    texts = [f"please use tel: (+49 {digits(3)} {digits(6)}) thanks; mail: <{'xyz'[i % 3]}{i}@some.org> of us" for i in range(40)]
+    hidden = ["089 123 4567", "(089) 123 4567", "089 / 1234567", "(0891234567)"]
+    texts += [f"please use tel: {h} at once" for h in hidden] + ["then mail: <someone@localhost> at once", "in 2004 12 men"]
+    got = {x["doc_id"]: x for x in pii.personal_data(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts[40:45]):
+        value = ("089 123 4567", "089) 123 4567", "089 / 1234567", "0891234567", "someone@localhost")[i]
+        start = t.index(value)
+        assert got[40 + i]["spans"] == f"{'phone' if i < 4 else 'email'}:{start}:{start + len(value)}", (t, got[40 + i])
+    assert got[45]["n_learnt"] == 0
+
+
 # --- 6 url rules
 
 
