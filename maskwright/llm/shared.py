@@ -36,11 +36,24 @@ def _drop(spark: SparkSession, root: str) -> None:
         return
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: a lost executor loses none of it."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: a lost executor loses none of it.
+
+    batch_rows: Python gets batches of at most this many rows meanwhile (texts and sets are large, and a batch is held
+    several times); the caller's setting is put back.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

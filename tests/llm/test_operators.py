@@ -329,25 +329,63 @@ def plain_components(texts, percent=75):
     return [len(s) for s in sets], [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 2])
-def test_near_groups(spark, rounds):
-    """With no rounds of centres, the comparison of pairs has to find every link by itself."""
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_groups(spark, monkeypatch, block):
+    """With blocks of four sets, most buckets need the second step."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
     texts = near_texts()
     sizes, roots = plain_components(texts)
-    got = {x["doc_id"]: x for x in near_dedup.near_groups(docs(spark, texts), rounds=rounds).collect()}
+    got = {x["doc_id"]: x for x in near_dedup.near_groups(docs(spark, texts)).collect()}
     for i in range(len(texts)):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (sizes[i], roots[i], roots[i] == i)
 
 
+def test_near_groups_at_the_limit(spark, monkeypatch):
+    """A group of edited copies of one text, of similarities around the limit: many are linked with none, some by one other."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 32)
+    r = random.Random(5)
+    base, texts = prose(120, 77).split(), []
+    for _ in range(220):
+        t = list(base)
+        for _ in range(r.randrange(0, 9)):
+            t[r.randrange(len(t))] = f"edit{r.randrange(10**6)}"
+        texts.append(" ".join(t))
+    sizes, roots = plain_components(texts)
+    assert 20 < len(set(roots)) < 200
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_groups(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == roots
+
+
 def test_near_odd(spark):
     got = near_dedup.near_groups(odd(spark)).collect()
     by = {x["doc_id"]: x for x in got}
-    assert len(got) == 11 and by[8]["component_id"] == 7 and by[6]["component_id"] == 5 and by[0]["n_shingles"] == 0 and by[None]["component_id"] is None
+    assert len(got) == 11 and by[8]["component_id"] == 7 and by[6]["component_id"] == 5 and by[0]["n_shingles"] == 0 and by[None]["component_id"] is None and by[None]["kept"]
     twice = {x["doc_id"]: x["component_id"] for x in near_dedup.near_groups(docs(spark, [prose(20, 1), prose(20, 2), prose(20, 2), prose(20, 1)], [4, 9, 4, 2])).collect()}
     assert twice == {4: 2, 9: 2, 2: 2}
+    named = near_dedup.near_groups(docs(spark, [prose(20, 1), prose(20, 1)], [None, 3])).collect()
+    assert sorted((x["doc_id"] or 0, x["component_id"] or 0, x["kept"]) for x in named) == [(0, 0, True), (3, 3, True)]
     assert near_dedup.near_groups(docs(spark, [])).count() == 0
 
 
+def test_shared_counts():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 1 << 63, 900, dtype=np.uint64)
+    for m in (2, 5, 90):
+        sets = [np.unique(r.choice(pool, r.integers(1, 300))) for _ in range(m)]
+        both = near_dedup.shared_counts(sets)
+        assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(m) for j in range(m) if i != j)
+
+
+def test_reaches_is_the_estimate():
+    r = np.random.default_rng(4)
+    a, b = r.integers(80, 100, 2000).astype(float), r.integers(80, 100, 2000).astype(float)
+    same = r.integers(40, 120, 2000)
+    more = r.binomial(128 - same, 0.5)
+    j = near_dedup.estimate(a, b, more, 128 - same - more, same)
+    clear = abs(j - 0.56) > 1e-4
+    assert ((j >= 0.56) == near_dedup.reaches(0.56, a, b, more, 128 - same - more, same))[clear].all()
+
+
 def test_sketches():
     r = np.random.default_rng(9)
     a, b, c = (r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 300, 600))
@@ -367,9 +405,9 @@ def test_sketches():
 
 def test_components(spark):
     r = random.Random(10)
-    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 440)]
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 640)]
     least = {}
-    for _ in range(100):
+    for _ in range(300):
         for a, b in pairs:
             m = min(least.get(a, a), least.get(b, b))
             least[a] = least[b] = m
