@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import textkit
-from maskwright.llm.shared import small_batches, text_of
+from maskwright.llm.shared import free_name, row_key, text_of
 
 GRAM, LEAST, RARE_SHARE = 3, 0.5, 0.7
 MATCH, OTHER = 2, -1
@@ -235,7 +235,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least: float
     null ids are reported as null; repeated rows of docs give a row each, repeated items are separate items; other
     columns are not read; an empty table on either side gives no rows.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     tests = benchmark.select(F.col(item_id).cast("long").alias("item_id"), text_of(item_text).alias("text"))
@@ -252,3 +251,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least: float
         found = rows.mapInArrow(_match(rare, gram, least, schema), "doc_id long, item_id long, score double, start int, end int")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, start int, end int")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item (see leaks). Rows without an id are told by their
+    text; rows that repeat an id go together."""
+    key = free_name(docs, "leak_key")
+    rows = docs.withColumn(key, row_key(doc_id, text))
+    found = leaks(rows, benchmark, doc_id=key, text=text).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(found, key, "left_anti").select(docs.columns)

@@ -4,11 +4,12 @@
    table, gives each document a posterior over the domains.
 2. Document rates r >= 0 are fitted by projected-gradient least squares: they minimise the squared distance of the
    expected domain totals sum_d r_d n_d p_dk from the targets, plus ``pull`` times the token-weighted squared distance
-   from a rate of 1. The projection of the optimum is r = max(0, 1 - P g) with K numbers g; a step changes g along the
-   gradient, scaled by the inverse normal matrix over documents whose rate isn't 0. It needs K + K^2 sums, gathered
-   by one distributed pass over (tokens, posterior). The only state is g, so a lost task is repeated alike.
-3. A rate is rounded up or down by a hash of the id, up with the probability of its fraction, so that the copies follow the
-   rates; a ``snap`` above 0 makes whole numbers of the rates that near to one, at the cost of the totals.
+   from a rate of 1. The optimum has the form r = max(0, 1 - P g) with K numbers g; a step changes g along the gradient,
+   scaled by the inverse normal matrix over documents whose rate isn't 0 (a handful of passes in place of hundreds), and
+   projects the rates. It needs K + K^2 sums, gathered by one distributed pass over (tokens, posterior). The only state
+   is g, so a lost task is repeated alike. Steps are shortened if they don't settle, and a fit that never does raises.
+3. A rate is rounded up or down by a hash of the row's key, up with the probability of its fraction, so that the copies
+   follow the rates.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from maskwright.llm import textkit
 from maskwright.llm.features import SIZE, Adam, Sparse, batches_of, features
 from maskwright.llm.quality import MAX_LABELLED, read_sample, sample_features
-from maskwright.llm.shared import cut, small_batches, text_of
+from maskwright.llm.shared import cut, free_name, row_key, text_of
 
 #: Domains by (quality, toxic) of the labelled table, and the shares of tokens aimed at.
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.95, "toxic": 0.02, "junk": 0.03}
-MAX_STEPS, TOLERANCE, PULL, SNAP, STEMS = 20, 1e-5, 0.002, 0.0, (4, 5)
+MAX_STEPS, TOLERANCE, PULL, STEMS = 60, 1e-5, 0.002, (4, 5)
 
 
 class Softmax:
@@ -86,21 +87,23 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     return Softmax(len(DOMAINS)).fit(x, y.astype(np.int64))
 
 
-def domain_posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
-    """docs (doc_id, text and more) with ``n_words`` and ``posterior array<double>`` added, in one pass."""
+def domain_posteriors(docs: DataFrame, model: Softmax, text: str = "text", names: tuple[str, str] = ("n_words", "posterior")) -> DataFrame:
+    """docs with a word count and ``posterior array<double>`` added (under ``names``), in one pass."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weight))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("posterior", pa.list_(pa.float64()))])
+    n, posterior = names
 
     def run(batches):
         own = Softmax(1)
         own.bias, own.weight = sent.value
         for batch in batches:
             at = 0
-            for x in features(batch.column(1), STEMS):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array(x.words, pa.int64()), pa.array(list(own.posteriors(x)), schema.field(2).type)], schema=schema)
+            for x in features(batch.column(text), STEMS):
+                part = batch.slice(at, len(x))
+                added = [pa.array(x.words, pa.int64()), pa.array(list(own.posteriors(x)), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*batch.schema.names, n, posterior])
                 at += len(x)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, posterior array<double>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(n, LongType()), StructField(posterior, ArrayType(DoubleType()))]))
 
 
 def _rates(p: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -137,64 +140,53 @@ def fit_rates(known: DataFrame, targets: list[float], anchor: int | None = 0, pu
     stays). Stops when no step of g is above ``tolerance``, so the totals are off by ``pull`` * g of the budget."""
     k = len(targets)
     share, g, goal = np.array(targets, float) / sum(targets), np.zeros(k), None
-    for _ in range(max_steps):
+    for k_th in range(max_steps):
         total, normal = _sums(known, g, k)
         if goal is None:
             goal = share * (total.sum() if anchor is None or not share[anchor] else total[anchor] / share[anchor])
             budget = max(goal.sum(), 1.0)
         step = np.linalg.solve(normal / budget + pull * np.eye(k), (total - goal) / budget - pull * g)
-        g = g + step
         if np.abs(step).max() <= tolerance:
-            break
-    return g
+            return g + step
+        g = g + step / (1 if k_th < 10 else 2 if k_th < 25 else 4)
+    raise ArithmeticError(f"rates not fitted in {max_steps} steps: the last one changed them by {np.abs(step).max():.2g}")
 
 
-def _copies(rate: np.ndarray, ids: np.ndarray, snap: float) -> np.ndarray:
-    """Whole copies for rates; ids are 64-bit (0 for null)."""
-    whole = np.round(rate)
-    dither = (textkit.mix(ids.view(np.uint64) + np.uint64(17)) >> np.uint64(11)).astype(float) / 2.0**53
-    return np.where(np.abs(rate - whole) <= snap, whole, np.floor(rate + dither)).astype(np.int32)
+def _copies(rate, key):
+    """Whole copies for a rate: its fraction is the chance of one more, drawn by a hash of the row's key."""
+    drawn = F.xxhash64(key, F.lit("copies")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    return F.floor(rate + drawn).cast("int")
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_labelled: int = MAX_LABELLED, snap: float = SNAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, p_clean, p_toxic, p_junk, rate, copies`` for every row of docs.
-
-    Tokens are words. Null texts count as empty: they have posteriors and a rate but no tokens; null ids stay null and
-    share one rounding; repeated rows weigh as often as they occur; other columns are not read; an empty table gives no
-    rows; without labels all domains are equally likely. Targets that can't be met are met as nearly as possible.
-    """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    known = cut(domain_posteriors(rows, fit_domains(rows, labels, max_labelled)), "posteriors")
-    g = fit_rates(known, [targets[d] for d in DOMAINS])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("posterior", pa.list_(pa.float64())), ("rate", pa.float64()), ("copies", pa.int32())])
-
-    def run(batches):
-        for batch in batches:
-            _, p = _arrays(batch, len(DOMAINS))
-            rate = _rates(p, g)
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate), pa.array(_copies(rate, ids, snap))], schema=schema)
+def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_labelled: int, doc_id: str, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with four columns added, and their names: words, posterior, rate, copies."""
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    model = fit_domains(plain, labels, max_labelled)
+    names = {x: free_name(docs, f"mixing_{x}") for x in ("words", "posterior", "rate", "copies")}
+    known = cut(domain_posteriors(docs, model, text, (names["words"], names["posterior"])), "posteriors", batch_rows=1000)
+    sums = known.select(F.col(names["words"]).alias("n_words"), F.col(names["posterior"]).alias("posterior"))
+    g = fit_rates(sums, [targets[d] for d in DOMAINS])
+    pull = sum((F.col(names["posterior"])[i] * F.lit(float(x)) for i, x in enumerate(g)), F.lit(0.0))
+    rated = known.withColumn(names["rate"], F.greatest(F.lit(0.0), 1 - pull))
+    return rated.withColumn(names["copies"], _copies(F.col(names["rate"]), row_key(doc_id, text))), names
 
-    rated = known.mapInArrow(run, "doc_id long, n_words long, posterior array<double>, rate double, copies int")
-    return rated.select("doc_id", "n_words", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies")
 
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_labelled: int = MAX_LABELLED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_words, p_clean, p_toxic, p_junk, rate, copies`` for every row of docs.
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_labelled: int = MAX_LABELLED, snap: float = SNAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, each as often as its rate says (see mixing_rates)."""
-    small_batches(docs.sparkSession)
+    Tokens are words. Null texts count as empty: they have posteriors and a rate but no tokens; rows with a null id are
+    rounded by their text; repeated rows weigh as often as they occur and are rounded alike; other columns are not read;
+    an empty table gives no rows; without labels all domains are equally likely. Targets that can't be met are met as
+    nearly as possible.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    model = fit_domains(rows, labels, max_labelled)
-    g = fit_rates(cut(domain_posteriors(rows, model), "posteriors"), [targets[d] for d in DOMAINS])
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weight))
+    rated, by = _rated(rows, labels, targets, max_labelled, "doc_id", "text")
+    shares = [F.col(by["posterior"])[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    return rated.select("doc_id", F.col(by["words"]).alias("n_words"), *shares, F.col(by["rate"]).alias("rate"), F.col(by["copies"]).alias("copies"))
 
-    def run(batches):
-        own = Softmax(1)
-        own.bias, own.weight = sent.value
-        for batch in batches:
-            p = [own.posteriors(x) for x in features(batch.column(text), STEMS)]
-            if p:
-                ids = batch.column(doc_id).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-                yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), _copies(_rates(np.concatenate(p), g), ids, snap))))
 
-    return docs.mapInArrow(run, docs.schema)
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_labelled: int = MAX_LABELLED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, each as often as its rate says (see mixing_rates). Texts are read by
+    Python once: rows are written with their posteriors, from which the rates and copies follow natively."""
+    rated, by = _rated(docs, labels, targets, max_labelled, doc_id, text)
+    return rated.filter(F.col(by["copies"]) > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(by["copies"]))).alias(by["words"])).select(docs.columns)

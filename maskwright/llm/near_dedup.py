@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import textkit
-from maskwright.llm.shared import cut, forget, id_filter, passes, text_of
+from maskwright.llm.shared import cut, forget, free_name, id_filter, passes, row_key, text_of
 
 REGISTERS, ROWS, BASE, RATE, Q = 128, 4, 1.001, 20.0, 65534
 SIZE, PERCENT = 5, 75
@@ -331,3 +331,19 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id",
     named = known.select("doc_id", "n", "key").join(owners, "key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, but one document only of each group (see near_groups): that of the
+    smallest id. Rows without an id are told by their text and come after all others; of rows that repeat an id, and of
+    those without one that share a text, one stays if it has words. Rows without words all stay."""
+    key = free_name(docs, "near_key")
+    rows = docs.withColumn(key, row_key(doc_id, text))
+    groups = near_groups(rows, percent, key, text)
+    dropped = groups.filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    repeated = cut(groups.filter("kept and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)), "repeated")
+    kept = rows.join(dropped, key, "left_anti")
+    if not repeated.isEmpty():
+        first = F.min_by(F.struct(*docs.columns), F.struct(text_of(text) == "", F.xxhash64(*docs.columns))).alias("row")
+        kept = kept.join(repeated, key, "left_anti").select(docs.columns).unionByName(kept.join(repeated, key, "left_semi").groupBy(key).agg(first).select("row.*"))
+    return kept.select(docs.columns)

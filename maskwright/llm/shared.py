@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
     The cluster names a folder that the driver and all executors share. Only where the setting is
-    absent (tests in local mode) a temporary folder of this machine stands in for it.
+    absent and Spark runs in this process (tests) a temporary folder of this machine stands in for it; a cluster
+    without the setting is refused, as each executor would write to a disk of its own.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="maskwright-")
         _ROOTS[app] = f"{base.rstrip('/')}/maskwright-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_drop, spark, _ROOTS[app])
@@ -56,9 +62,25 @@ def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
         spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return out
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths of all tables that ``cut`` writes within the block, for this thread only."""
+    made: list[str] = []
+    before = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -70,21 +92,21 @@ def forget(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table.written_to)
 
 
-def written(spark: SparkSession) -> set[str]:
-    """Paths of the tables of this application."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    return {e.getPath().toString() for e in fs.listStatus(root)} if fs.exists(root) else set()
-
-
-def forget_paths(spark: SparkSession, paths: set[str]) -> None:
+def forget_paths(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         _delete(spark, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand rows to Python in batches of at most this many: texts and sets are large, and a batch is held several times."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text"):
+    """The id of a row, or for a null id one of its text, above 2**62 (rows without an id that share a text share it)."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text_of(text)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
 
 
 def text_of(text: str = "text"):

@@ -659,17 +659,40 @@ def test_rates_match_targets(spark):
     assert (copies[kind == 0] >= 1).mean() > 0.98 and (copies[kind == 1] == 0).mean() > 0.8
 
 
-def test_copies_match_targets():
+def test_copies_match_targets(spark):
     """The rows delivered follow the fitted rates, also where these are small or near to a whole number."""
     sizes, share = np.array([3027, 449, 504]), np.array([0.95, 0.02, 0.03])
-    kind = np.repeat(np.arange(3), sizes)
-    rate = (share / 0.95 * sizes[0] / sizes)[kind]
-    ids = np.arange(len(kind))
-    copies = mixing._copies(rate, ids, mixing.SNAP)
-    got = np.bincount(kind, copies, 3)
+    rate = share / 0.95 * sizes[0] / sizes
+    rows = spark.range(int(sizes.sum())).select("id", F.when(F.col("id") < 3027, 0).when(F.col("id") < 3476, 1).otherwise(2).alias("kind"))
+    rows = rows.withColumn("copies", mixing._copies(F.element_at(F.array(*[F.lit(float(x)) for x in rate]), F.col("kind") + 1), F.col("id")))
+    got = np.array([x["n"] for x in rows.groupBy("kind").agg(F.sum("copies").alias("n")).orderBy("kind").collect()])
     assert np.abs(got / got.sum() - share).max() < 0.01
-    for wanted in (0.2, 0.75, 1.25, 1.9):
-        assert abs(mixing._copies(np.full(20_000, wanted), np.arange(20_000), mixing.SNAP).mean() - wanted) < 0.02
+    for wanted in (0.0, 0.2, 0.75, 1.0, 1.25, 1.9):
+        mean = spark.range(20_000).select(F.avg(mixing._copies(F.lit(wanted), F.col("id")))).first()[0]
+        assert abs(mean - wanted) < 0.02 and (wanted != int(wanted) or mean == wanted)
+
+
+def test_delivered_totals(spark):
+    """On the given table: expected tokens of each domain among the copies against the targets, and posteriors recomputed."""
+    tables = [spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")]
+    rows = mixing.mixing_rates(*tables).toPandas()
+    p = rows[["p_clean", "p_toxic", "p_junk"]].to_numpy()
+    got = (p * (rows.n_words * rows.copies).to_numpy()[:, None]).sum(axis=0)
+    assert np.abs(got / got.sum() - np.array([0.95, 0.02, 0.03])).max() < 0.01
+    texts = {x["doc_id"]: x["text"] for x in tables[0].collect()}
+    assert all(n == len(plain_words(texts[d])) for d, n in zip(rows.doc_id, rows.n_words))
+    model = mixing.fit_domains(*tables)
+    some = rows.head(200)
+    again = np.concatenate([model.posteriors(x) for x in mixing.features(pa.array([texts[d] or "" for d in some.doc_id], pa.large_string()), mixing.STEMS)])
+    assert np.allclose(again, some[["p_clean", "p_toxic", "p_junk"]].to_numpy(), atol=1e-6)
+    kept = collections.Counter(x["doc_id"] for x in mixing.mixed(*tables).select("doc_id").collect())
+    assert kept == {int(d): int(c) for d, c in zip(rows.doc_id, rows.copies) if c}
+
+
+def test_unfitted_rates_raise(spark):
+    known = spark.createDataFrame([(10, [0.5, 0.5]), (20, [0.9, 0.1])], "n_words long, posterior array<double>")
+    with pytest.raises(ArithmeticError):
+        mixing.fit_rates(known, [0.5, 0.5], max_steps=1)
 
 
 def test_mixed_rows(spark):
@@ -678,4 +701,8 @@ def test_mixed_rows(spark):
     got = mixing.mixed(docs(spark, texts), labels(spark, marks))
     assert got.columns == docs(spark, texts).columns
     assert collections.Counter(x["doc_id"] for x in got.collect()) == {i: c for i, c in copies.items() if c}
-    assert mixing.mixing_rates(odd(spark), labels(spark)).count() == 11 and mixing.mixed(docs(spark, []), labels(spark)).count() == 0
+    table = odd(spark).withColumn("mixing_rate", F.lit(1)).withColumn("mixing_copies", F.lit(1))
+    assert mixing.mixing_rates(table, labels(spark)).count() == 11
+    # without labels every rate is the same, so that rows are kept by their keys only
+    whole = mixing.mixed(table, labels(spark))
+    assert whole.columns == table.columns and whole.count() > 0 and mixing.mixed(docs(spark, []), labels(spark)).count() == 0
