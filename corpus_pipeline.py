@@ -1,76 +1,50 @@
 """Documents to packed token ids: quality, near duplicates, benchmark leaks, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, in the columns of ``documents``; the last one
-returns packed rows. Null ids and texts, repeated rows, and empty tables are treated as the operators' docstrings say.
+returns packed rows. In every stage null texts count as empty and an empty table gives an empty table; extra columns are
+kept but for the last stage, whatever their names; very long texts are read whole. Rows without an id are told by their
+text (shared.row_key). Rows that repeat an id share their fate, but near_dedup leaves one row of each id that has words.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm.decontaminate import leaks
+from maskwright.llm.decontaminate import without_leaks
 from maskwright.llm.mixing import mixed
-from maskwright.llm.near_dedup import near_groups
+from maskwright.llm.near_dedup import one_of_each
 from maskwright.llm.packing import pack_tokens
 from maskwright.llm.quality import accepted
-from maskwright.llm.shared import cut, forget_paths, written
+from maskwright.llm.shared import cut, forget_paths, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_BEFORE: dict[str, set[str]] = {}
-
-
-def _stage(work):
-    """A stage: what the one before it wrote by the way is deleted, as its result has been written by now."""
-
-    @wraps(work)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app, now = spark.sparkContext.applicationId, written(spark)
-        if work.__name__ != "quality":
-            own = {p for p in now - _BEFORE.get(app, now) if not p.rpartition("/")[2].startswith("stage-")}
-            forget_paths(spark, own)
-            now -= own
-        _BEFORE[app] = now
-        return work(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score 0.3 or more)."""
+    """Documents that the quality classifier accepts (score 0.3 or more). Null and empty texts are scored like others."""
     return accepted(docs, _table(spark, sf_dir, "labels"))
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id."""
-    dropped = near_groups(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates: the one of the smallest id. Documents without words all stay."""
+    return one_of_each(docs)
 
 
-@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
-    leaking = leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
+    return without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
-@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture wants them: each rate rounded by a hash of the id."""
     return mixed(docs, _table(spark, sf_dir, "labels"))
 
 
-@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
+    """Packed rows of token ids. Documents without tokens leave nothing."""
     return pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -81,10 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet into the shared folder and read again."""
+    """All stages over ``documents``, each written as Parquet into the shared folder and read again; what a stage wrote
+    by the way is deleted once its result is written."""
     docs = _table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch() as made:
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget_paths(spark, [p for p in made if p != docs.written_to])
+    return STAGES[-1][1](spark, docs, sf_dir)
