@@ -102,6 +102,9 @@ def _tables(args) -> int:
     if not _linted(args, [policy], args.command):
         return 1
     many = len(args.inputs) > 1
+    if len({os.path.basename(i) for i in args.inputs}) < len(args.inputs):
+        print("inputs of the same file name would be written to one output", file=sys.stderr)
+        return 1
     requests = [runner.Request(args.command, policy, i, os.path.join(args.out, os.path.basename(i)) if many else args.out, args.report, args.vault, os.path.basename(i), args.split) for i in args.inputs]
     run = audited(args.audit_log) if args.audit_log else runner.execute
     outcomes = runner.run_many(spark, requests, args.jobs, run)

@@ -1,7 +1,8 @@
 """The cascade of content rules over one text column: each rule sees what the rule before it has left.
 
-A rule splits the text at its matches, replaces the matches that its validator accepts and joins the pieces again. All
-of it is native: two projections a rule (pieces, then text), so a plan grows in proportion to the rules.
+A rule searches the texts that hold what every match of it contains (its gate, a cheap expression), validates each match
+once, and only texts with matches are split, their accepted matches replaced and the pieces joined again. All of it is
+native: two projections a rule (matches, then text), so a plan grows in proportion to the rules.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ class Scan:
     mappings: str | None
 
 
-def matches_of(text: Column, regex: str) -> Column:
-    """All matches of an expression, left to right."""
-    return F.regexp_extract_all(text, F.lit(detectors.java(regex)), F.lit(0))
+def matches_of(text: Column, regex: str, gate: str | None = None) -> Column:
+    """All matches of an expression, left to right; none for a missing text or one without what ``gate`` finds."""
+    found = F.regexp_extract_all(text, F.lit(detectors.java(regex)), F.lit(0))
+    return F.coalesce(found if gate is None else F.when(text.rlike(gate), found), F.array().cast("array<string>"))
 
 
 def count_matches(text: Column, regex: str, validator: str = "none") -> Column:
     """Number of matches that the validator accepts; 0 for a missing text."""
-    found = matches_of(F.coalesce(text, F.lit("")), regex)
+    found = matches_of(text, regex)
     return F.size(found if validator == "none" else F.filter(found, lambda m: validators.accepts(validator, m))).cast("bigint")
 
 
@@ -67,17 +69,18 @@ def scan(df: DataFrame, column: str, rules: tuple[Rule, ...], keyed: Keyed | Non
     found: list[Scan] = []
     for i, rule in enumerate(rules):
         stem = f"{INTERNAL}{column}{INTERNAL}{i}"
-        hits, seg = f"{stem}m", f"{stem}s"
+        hits = f"{stem}m"
         text = F.col(f"`{column}`")
         reversible = mappings and rule.action in ("token", "mock")
         found.append(Scan(rule, column, f"{stem}n", f"{stem}r", f"{stem}k" if reversible else None))
-        df = df.withColumns({hits: F.transform(F.coalesce(matches_of(text, rule.source), F.array().cast("array<string>")), _pair(rule, keyed)), seg: F.split(text, detectors.java(rule.source), -1)})
+        gate = detectors.GATES.get(rule.builtin) if rule.regex is None else None
+        df = df.withColumn(hits, F.transform(matches_of(text, rule.source, gate), _pair(rule, keyed)))
         new = {f"{stem}n": F.size(F.filter(hits, lambda x: x["t"].isNotNull())), f"{stem}r": F.size(F.filter(hits, lambda x: x["t"].isNull()))}
         if rule.action != "detect":
             glue = F.concat(F.transform(hits, lambda x: F.coalesce(x["t"], x["o"])), F.array(F.lit("")))
-            joined = F.array_join(F.zip_with(seg, glue, lambda a, b: F.concat(a, b)), "")
+            joined = F.array_join(F.zip_with(F.split(text, detectors.java(rule.source), -1), glue, lambda a, b: F.concat(a, b)), "")
             new[column] = F.when(F.size(hits) == 0, text).otherwise(joined)
         if reversible:
             new[f"{stem}k"] = F.filter(hits, lambda x: x["t"].isNotNull())
-        df = df.withColumns(new).drop(hits, seg)
+        df = df.withColumns(new).drop(hits)
     return df, found

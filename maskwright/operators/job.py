@@ -137,9 +137,14 @@ def build(df: DataFrame, policy: Policy, mode: str, key: bytes | None = None, ma
             rows = rows.withColumns({f"{hidden}o{i}": text, c.name: token})
             maps.append((c.domain, f"{hidden}o{i}", c.name))
         elif c.kind == "transform":
-            text = as_text(c.name, df.schema[c.name].dataType)
-            new = transformed(text, c.transform)
-            rows = rows.withColumns({f"{hidden}u{i}": (text != "") & (text != transforms.SUPPRESSED) & (new == transforms.SUPPRESSED), c.name: new})
+            kind = df.schema[c.name].dataType
+            text = as_text(c.name, kind)
+            if c.transform.strategy == "bucket" and isinstance(kind, (T.IntegralType, T.FloatType, T.DoubleType)):
+                new, fresh = transforms.bucket_number(F.col(f"`{c.name}`"), kind, c.transform.width), F.lit(True)
+            else:
+                new, fresh = transformed(text, c.transform), (text != "") & (text != transforms.SUPPRESSED)
+            # the value first, then whether it was suppressed: each is computed once
+            rows = rows.withColumns({f"{hidden}u{i}": fresh, c.name: new}).withColumn(f"{hidden}u{i}", F.col(f"`{hidden}u{i}`") & (F.col(f"`{c.name}`") == transforms.SUPPRESSED))
             metrics.append(F.count_if(F.col(f"`{hidden}u{i}`")).alias(f"suppressed_{i}"))
     scans: list[Scan] = []
     for c in made.columns:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.keys import TOKEN_CHARS
@@ -39,26 +39,43 @@ def reverse(df: DataFrame, records: DataFrame, columns: list[str] | None = None)
     return _literal(df, inside.filter(~F.col("token").rlike(f"{_HEX}$")), columns)
 
 
+def _texts(columns: list[str]) -> list[Column]:
+    return [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in columns]
+
+
+def _content(columns: list[str]) -> Column:
+    """What a row is told by: rows with the same texts have the same tokens in them."""
+    return F.sha2(F.concat_ws("\x00", *_texts(columns)), 256)
+
+
+def _any_match(columns: list[str], shape: str) -> Column:
+    out = F.lit(False)
+    for t in _texts(columns):
+        out = out | t.rlike(shape)
+    return out
+
+
+def _put_back(text: Column, known: Column) -> Column:
+    """The text with each token of an array of (token, original) replaced in one pass, the longest first at a place."""
+    shape = F.array_join(F.transform(known, lambda k: F.regexp_replace(k["token"], "([^A-Za-z0-9])", "\\\\$1")), "|")
+    table = F.map_from_entries(known)
+    back = F.transform(F.regexp_extract_all(text, shape, F.lit(0)), lambda t: F.element_at(table, t))
+    return F.array_join(F.zip_with(F.split(text, shape, -1), F.concat(back, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+
 def _embedded(df: DataFrame, inside: DataFrame, columns: list[str]) -> DataFrame:
-    """Tokens inside texts: their shapes are cut out, looked up by a join and put back in place."""
-    prefixes = [r[0] for r in inside.select(F.regexp_replace("token", f"{_HEX}$", "").alias("p")).distinct().limit(MOST_LITERALS + 1).collect()]
-    if not prefixes:
-        return df
-    if len(prefixes) > MOST_LITERALS:
-        return _stitched(df, inside, columns)
-    some = "|".join(re.escape(p) for p in sorted(prefixes, key=len, reverse=True) if p)
-    shape = f"(?:{some})?{_HEX}" if some else _HEX
-    df = df.withColumn("§id", F.monotonically_increasing_id())
-    hits = F.concat(*[F.coalesce(F.regexp_extract_all(F.col(f"`{c}`"), F.lit(shape), F.lit(0)), F.array().cast("array<string>")) for c in columns])
-    found = df.select("§id", F.explode(F.array_distinct(hits)).alias("token")).join(inside.groupBy("token").agg(F.min("original").alias("original")), "token")
-    known = found.groupBy("§id").agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("§k"))
-    df = df.join(known, "§id", "left")
-    for c in columns:
-        text = F.col(f"`{c}`")
-        back = F.transform(F.regexp_extract_all(text, F.lit(shape), F.lit(0)), lambda t: F.coalesce(F.element_at("§k", t), t))
-        joined = F.array_join(F.zip_with(F.split(text, shape, -1), F.concat(back, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-        df = df.withColumn(c, F.when(F.col("§k").isNull() | text.isNull() | ~text.rlike(shape), text).otherwise(joined))
-    return df.drop("§id", "§k")
+    """Tokens inside texts, whatever their prefixes: all runs of TOKEN_CHARS hex digits, also within longer runs, are
+    looked up by a join, and the tokens that end in them are replaced. Rows without such a run are not touched."""
+    some = _any_match(columns, _HEX)
+    hit, rest = df.filter(some), df.filter(~some)
+    runs = F.concat(*[F.regexp_extract_all(t, F.lit(f"(?=({_HEX}))"), F.lit(1)) for t in _texts(columns)])
+    one = inside.groupBy("token").agg(F.min("original").alias("original")).withColumn("hex", F.expr(f"right(token, {TOKEN_CHARS})"))
+    found = hit.select(_content(columns).alias("§c"), F.explode(F.array_distinct(runs)).alias("hex")).distinct().join(one, "hex")
+    longest = lambda a, b: F.when(F.length(a["token"]) > F.length(b["token"]), -1).when(F.length(a["token"]) < F.length(b["token"]), 1).otherwise(0)
+    known = found.groupBy("§c").agg(F.array_sort(F.collect_set(F.struct("token", "original")), longest).alias("§k"))
+    hit = hit.withColumn("§c", _content(columns)).join(known, "§c", "left")
+    hit = hit.withColumns({c: F.when(F.col("§k").isNull() | F.col(f"`{c}`").isNull(), F.col(f"`{c}`")).otherwise(_put_back(F.col(f"`{c}`"), F.col("§k"))) for c in columns})
+    return hit.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(rest)
 
 
 def _literal(df: DataFrame, inside: DataFrame, columns: list[str]) -> DataFrame:
@@ -83,7 +100,7 @@ _BLOCK = 100_000
 
 
 def _substrings(sizes: list[int]):
-    """(id, place from 1, size, substring) of all substrings of these sizes: cut in Python, as a text is not copied for each."""
+    """(key, place from 1, size, substring) of all substrings of these sizes: cut in Python, as a text is not copied for each."""
 
     def run(batches):
         for batch in batches:
@@ -91,8 +108,8 @@ def _substrings(sizes: list[int]):
                 for size in sizes:
                     for low in range(0, len(text) - size + 1, _BLOCK):
                         at = range(low, min(low + _BLOCK, len(text) - size + 1))
-                        columns = [pa.array([key] * len(at), pa.int64()), pa.array([i + 1 for i in at], pa.int32()), pa.array([size] * len(at), pa.int32()), pa.array([text[i : i + size] for i in at], pa.string())]
-                        yield pa.RecordBatch.from_arrays(columns, names=["§id", "at", "size", "token"])
+                        columns = [pa.array([key] * len(at), pa.string()), pa.array([i + 1 for i in at], pa.int32()), pa.array([size] * len(at), pa.int32()), pa.array([text[i : i + size] for i in at], pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["§c", "at", "size", "token"])
 
     return run
 
@@ -104,18 +121,17 @@ def _stitched(df: DataFrame, inside: DataFrame, columns: list[str]) -> DataFrame
     sizes = [r[0] for r in one.select(F.length("token")).distinct().collect()]
     if not sizes:
         return df
-    df = df.withColumn("§id", F.monotonically_increasing_id())
     for c in columns:
         text = F.col(f"`{c}`")
-        parts = df.filter(F.length(text) >= min(sizes)).select("§id", text.alias("text")).mapInArrow(_substrings(sorted(sizes)), "`§id` long, at int, size int, token string")
-        hits = parts.join(one, "token")
-        hits = hits.groupBy("§id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "original"))).alias("§h"))
-        df = df.join(hits, "§id", "left")
+        rows = df.withColumn("§c", F.sha2(F.coalesce(text, F.lit("")), 256))
+        texts = rows.filter(F.length(text) >= min(sizes)).select("§c", text.alias("text")).dropDuplicates(["§c"])
+        hits = texts.mapInArrow(_substrings(sorted(sizes)), "`§c` string, at int, size int, token string").join(one, "token")
+        hits = hits.groupBy("§c").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "original"))).alias("§h"))
         none = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
         put = lambda s, h: F.when(h["at"] < s["at"], s).otherwise(F.struct((h["at"] - h["less"]).alias("at"), F.concat(s["out"], F.substring(text, s["at"], h["at"] - s["at"]), h["original"]).alias("out")))
         back = F.aggregate("§h", none, put, lambda s: F.concat(s["out"], F.substring(text, s["at"], F.length(text))))
-        df = df.withColumn(c, F.when(F.col("§h").isNull(), text).otherwise(back)).drop("§h")
-    return df.drop("§id")
+        df = rows.join(hits, "§c", "left").withColumn(c, F.when(F.col("§h").isNull(), text).otherwise(back)).drop("§h", "§c")
+    return df
 
 
 def export(records: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 from maskwright.errors import PolicyError
@@ -72,22 +73,51 @@ def _run(spark: SparkSession, request: Request) -> dict:
     made.warnings += warnings
     with staging.staged(spark, request.output, request.job) as part:
         formats.write(made.output, part, kind)
-    report = made.report(formats.read(spark, request.output, kind) if kind == "parquet" else None)
-    if kind == "parquet" and (found := spark.read.parquet(request.output).count()) != report["rows_written"]:
-        raise OSError(f"the output has {found} rows, {report['rows_written']} were written")
-    if request.vault:
-        reversible = made.mappings is not None and (policy.needs_key(request.mode))
-        n = write_vault(made.mappings, request.vault, secret, policy.dataset) if reversible else 0
-        report["warnings"].append(f"the vault {request.vault} reverses {n} values: guard it like the originals" if n else "a vault was asked for, but nothing in the output can be reversed")
+    if made.mappings is not None:
+        # collisions and the vault share one pass
+        made.mappings = made.mappings.persist(StorageLevel.DISK_ONLY)
+    try:
+        report = _checked(spark, made, request.output, kind)
+        if request.vault:
+            _write_vault(made, request, report, secret, policy)
+    finally:
+        if made.mappings is not None:
+            made.mappings.unpersist()
     if request.report:
         staging.write_text(spark, request.report, to_json(report))
     return report
 
 
+def _checked(spark: SparkSession, made: jobs.Job, output: str, kind: str) -> dict:
+    """The report, its class statistics from the table as written, whose rows are counted too."""
+    wrote = made.observation.get.get("rows") or 0
+    # a text file without rows has no schema, and the rows of one that has a single column may be blank lines
+    blank = kind != "parquet" and (not wrote or kind == "csv" and len(made.output.columns) < 2)
+    table = None if blank else formats.read(spark, output, kind)
+    if table is not None and (found := table.count()) != wrote:
+        raise OSError(f"the output has {found} rows, {wrote} were written")
+    return made.report(table)
+
+
+def _write_vault(made: jobs.Job, request: Request, report: dict, secret: str | None, policy: Policy) -> None:
+    reversible = made.mappings is not None and policy.needs_key(request.mode)
+    n = write_vault(made.mappings, request.vault, secret, policy.dataset) if reversible else 0
+    report["warnings"].append(f"the vault {request.vault} reverses {n} values: guard it like the originals" if n else "a vault was asked for, but nothing in the output can be reversed")
+
+
 def run_many(spark: SparkSession, requests: list[Request], workers: int = MOST_JOBS, run: Callable = execute) -> list[Outcome]:
-    """Outcomes in the order of the requests; one that fails doesn't stop the others."""
+    """Outcomes in the order of the requests; one that fails doesn't stop the others. Each has a scheduler pool of its
+    own, so that with ``spark.scheduler.mode=FAIR`` a long job doesn't hold up the others."""
+
+    def one(at: int) -> Outcome:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"maskwright-{at}")
+        try:
+            return run(spark, requests[at])
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
     with ThreadPoolExecutor(max(1, min(workers, MOST_JOBS, len(requests) or 1))) as pool:
-        return list(pool.map(lambda r: run(spark, r), requests))
+        return list(pool.map(one, range(len(requests))))
 
 
 @dataclass(frozen=True)

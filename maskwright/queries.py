@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright import oracles
 from maskwright.dicom import queries as images
 from maskwright.functions import detectors, transforms, validators
 from maskwright.functions.keys import Keyed, dataset_key, pads, prefix
@@ -182,8 +183,65 @@ def mock_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_custkey", *out)
 
 
+MOCKED = {"iban": "DE89 3704 0044 0532 0130 00", "credit_card": "4532-1234-5678-9014", "phone": "+49 (89) 1234-567", "mac_address": "00-1a-2b-3c-4d-5e"}
+
+
+def mock_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Mocks of fixed originals under a key of each customer's own: every character of them."""
+    from maskwright.functions import mocks
+
+    rows, keyed = Keyed.on(_t(spark, sf, "customer"), KEY)
+    made = [mocks.mock(shape, keyed.hex("mock", shape, F.concat(F.lit(v), F.col("c_custkey").cast("string"))), F.lit(v)).alias(shape) for shape, v in MOCKED.items()]
+    return rows.select("c_custkey", *made)
+
+
+def _mock_values_sql() -> str:
+    byte = "('0x' || substr({h}, {at}, 2))::INTEGER".format
+    digit = lambda h, i: f"(({byte(h=h, at=2 * (i % 32) + 1)} + {i // 32}) % 256 % 10)"
+    phone = " || ".join(("'+'", f"greatest({digit('ph', 0)}, 1)", digit("ph", 1), "' ('", digit("ph", 2), digit("ph", 3), "') '", *(digit("ph", i) for i in range(4, 8)), "'-'", *(digit("ph", i) for i in range(8, 11))))
+    card = ["9", "9", "9", *(digit("cr", i) for i in range(3, 15))]
+    twice = lambda d: f"(CASE WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END)"
+    check = f"((10 - ({' + '.join(twice(d) if i % 2 == 0 else d for i, d in enumerate(reversed(card)))}) % 10) % 10)"
+    card_text = " || '-' || ".join("(" + " || ".join(f"({d})" for d in [*card, check][i : i + 4]) + ")" for i in range(0, 16, 4))
+    body = " || ".join(digit("ib", i) for i in range(18))
+    iban = f"'DE' || lpad((98 - (({body})::HUGEINT * 1000000 + 131400) % 97)::VARCHAR, 2, '0') || {body}"
+    mac = f"lpad(lower(to_hex(({byte(h='ma', at=1)} & 254) | 2)), 2, '0') || " + " || ".join(f"'-' || substr(ma, {i}, 2)" for i in range(3, 13, 2))
+    keys = ", ".join(f"{_hmac_sql('mock', shape, chr(39) + v + chr(39) + ' || cast(c_custkey AS VARCHAR)')} AS {shape[:2]}" for shape, v in MOCKED.items())
+    return f"SELECT c_custkey, {iban} AS iban, {card_text} AS credit_card, {phone} AS phone, {mac} AS mac_address FROM (SELECT c_custkey, {keys} FROM customer)"
+
+
 # --- content rules
 
+#: Texts made from a customer's number (k), for detectors that the tables give nothing to: right and wrong ones. Both
+#: engines read these expressions.
+_MADE = {
+    "iban": "'DE' || lpad(cast(k % 97 + 2 AS string), 2, '0') || ' 3704 0044 0532 ' || lpad(cast(k AS string), 4, '0') || ' 00'",
+    "mac_address": "CASE WHEN k % 3 = 0 THEN '00:1A:2B:' ELSE 'ff:ff:ff:' END || CASE WHEN k % 2 = 0 THEN 'ff:ff:ff' ELSE '3c:4d:' || lpad(cast(k % 100 AS string), 2, '0') END",
+    "url": "CASE k % 4 WHEN 0 THEN 'https://h' || cast(k AS string) || '.example.com:80/p?q=1' WHEN 1 THEN 'www.site' || cast(k AS string) || '.org/x' WHEN 2 THEN 'http://nodots' ELSE 'ftp://u@10.0.' || cast(k % 400 AS string) || '.1/' END",
+    "ssn": "lpad(cast(k * 7919 % 1000 AS string), 3, '0') || '-' || lpad(cast(k * 31 % 100 AS string), 2, '0') || '-' || lpad(cast(k * 101 % 10000 AS string), 4, '0')",
+    "date_of_birth": "CASE k % 3 WHEN 0 THEN lpad(cast(k % 33 AS string), 2, '0') || '/' || lpad(cast(k % 14 AS string), 2, '0') || '/19' || lpad(cast(k % 100 AS string), 2, '0') WHEN 1 THEN '19' || lpad(cast(k % 100 AS string), 2, '0') || '-02-' || lpad(cast(k % 32 AS string), 2, '0') ELSE 'February ' || cast(k % 32 AS string) || ', ' || cast(1900 + k % 110 AS string) END",
+    "phone": "'+' || cast(k % 10 AS string) || '9 89 ' || lpad(cast(k AS string), 7, '0')",
+    "credit_card": "cast(4000000000000000 + k * 7919 AS string)",
+    "bic": "'TEST' || substr('DEFRUSXQZZKF', cast(2 * (k % 6) + 1 AS int), 2) || substr('2X01', cast(k % 4 + 1 AS int), 1) || substr('LOM', cast(k % 3 + 1 AS int), 1)",
+    "ip_address": "CASE k % 3 WHEN 0 THEN cast(k % 300 AS string) || '.1.2.3' WHEN 1 THEN '2001:db8::' || cast(k AS string) ELSE '1:2:3:4:5:6:7:' || cast(k AS string) END",
+    "email": "CASE k % 3 WHEN 0 THEN '.a' WHEN 1 THEN 'b.c' ELSE 'd..e' END || cast(k AS string) || '@mail.example.' || CASE k % 2 WHEN 0 THEN 'com' ELSE 'c0' END",
+}
+
+
+def detect_made(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted matches of each validated detector in a text of its own for each customer."""
+    rows = _t(spark, sf, "customer").selectExpr("c_custkey", "c_custkey AS k").select("c_custkey", *[F.concat(F.lit("see "), F.expr(e), F.lit(" or so")).alias(n) for n, e in _MADE.items()])
+    return rows.select("c_custkey", *[cascade.count_matches(F.col(n), detectors.PATTERNS[n], detectors.VALIDATED_BY[n]).alias(n) for n in _MADE])
+
+
+def _detect_made_sql() -> str | None:
+    rows = ", ".join(f"'see ' || {e} || ' or so' AS {n}" for n, e in _MADE.items())
+    every = [(n, oracles.accepts(n, "m")) for n in _MADE]
+    if any(ok is None for _, ok in every):
+        return None
+    found = ", ".join(f"cast(len(list_filter(regexp_extract_all({n}, '{oracles.regex(n)}'), lambda m: {ok})) AS BIGINT) AS {n}" for n, ok in every)
+    return f"SELECT c_custkey, {found} FROM (SELECT c_custkey, {rows} FROM (SELECT c_custkey, c_custkey AS k FROM customer))"
+
 
 def _detect(name: str, table: str, key: list[str]) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,15 +344,15 @@ def token_email(spark: SparkSession, sf: str) -> DataFrame:
     return job.build(_t(spark, sf, "documents"), parse_policy(policy), "pseudonymize", KEY, mappings=True).mappings
 
 
+REPORTED = ("email", "credit_card", "ip_address", "phone")
+
+
 def pattern_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches, rejected matches and documents for each validated rule."""
-    out = None
-    for name in ("email", "credit_card", "ip_address", "phone"):
-        d = detectors.CATALOGUE[name]
-        all_n, ok = cascade.count_matches(F.col("text"), d.regex), cascade.count_matches(F.col("text"), d.regex, d.validator)
-        one = _t(spark, sf, "documents").agg(F.sum(ok).alias("matches"), F.sum(all_n - ok).alias("rejected"), F.count_if(ok > 0).cast("bigint").alias("docs")).select(F.lit(name).alias("rule"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Matches, rejected matches and documents for each validated rule, from one scan and one aggregate."""
+    rules = tuple(Rule(name, "detect", builtin=name) for name in REPORTED)
+    rows, scans = cascade.scan(_t(spark, sf, "documents").select("text"), "text", rules)
+    one = lambda s: F.struct(F.lit(s.rule.name).alias("rule"), F.sum(f"`{s.matches}`").alias("matches"), F.sum(f"`{s.rejected}`").alias("rejected"), F.count_if(F.col(f"`{s.matches}`") > 0).cast("bigint").alias("docs"))
+    return rows.agg(F.array(*map(one, scans)).alias("rules")).select(F.explode("rules").alias("r")).select("r.*")
 
 
 def full_policy_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -303,6 +361,12 @@ def full_policy_documents(spark: SparkSession, sf: str) -> DataFrame:
     return job.build(_t(spark, sf, "documents").withColumn("id", F.col("doc_id")), parse_policy(policy), "anonymize").output
 
 
+def _full_policy_sql() -> str | None:
+    names = [*detectors.preset_names("precise"), *detectors.preset_names("moderate")]
+    texts = oracles.cascade([(n, f"[{n.upper()}]") for n in names], "documents", "doc_id")
+    return texts and f"SELECT 'REDACTED' AS doc_id, t.text, d.lang, d.source, d.n_chars, d.doc_id AS id FROM documents d JOIN ({texts}) t USING (doc_id)"
+
+
 # --- validators on literals
 
 VECTORS = {
@@ -440,7 +504,7 @@ _PADDED = "substr(c_mktsegment, 1, 3) || repeat('#', greatest(length(c_mktsegmen
 def queries() -> dict[str, Query]:
     plain = (
         anon_orders, qi_classes, qi_summary, qi_unique_rows, qi_k_thresholds, anon_bucket, anon_keep_prefix, anon_date_year, anon_date_ym, anon_redact, anon_suppress,
-        anon_remove, pseudonymize_customer, pseudonymize_events, token_domain_link, mock_email, mock_shapes, detect_planted, redact_email, redact_cascade, token_email,
+        anon_remove, pseudonymize_customer, pseudonymize_events, token_domain_link, mock_email, mock_shapes, mock_values, detect_made, detect_planted, redact_email, redact_cascade, token_email,
         pattern_report, full_policy_documents, bucket_vectors, date_vectors, jsonl_retype, infer_types, vault_roundtrip, reverse_tokens, reverse_embedded, vault_ambiguous,
         mock_collisions, detector_catalog, lint_policy,
     )
@@ -491,6 +555,10 @@ def oracle_sql() -> dict[str, str]:
         "mock_collisions": "SELECT 'pattern:segment' AS field, cast(sum(n - 1) AS BIGINT) AS colliding FROM (SELECT count(DISTINCT c_name) AS n FROM customer GROUP BY c_mktsegment) WHERE n > 1",
         "detector_catalog": _values_sql([(d.name, d.precision, d.validator, d.mockable, d.example) for d in detectors.CATALOGUE.values()], "name, class, validated_by, mockable, example"),
         "lint_policy": _values_sql(LINTED_FOUND, "id, level, subject"),
+        "mock_values": _mock_values_sql(),
+        "detect_made": _detect_made_sql(),
+        "pattern_report": oracles.report(REPORTED, "documents"),
+        "full_policy_documents": _full_policy_sql(),
         "detect_email_count": _detect_email_sql(),
         "detect_credit_card_count": _detect_card_sql(),
         "detect_email_conversations": _count_sql("email", "conversations", "conv_id, turn"),
@@ -498,4 +566,5 @@ def oracle_sql() -> dict[str, str]:
     out |= {f"detect_{n}_count": _count_sql(n, "documents", "doc_id") for n in _UNVALIDATED}
     out |= {f"planted_{n}": _count_sql(n, _planted_sql(), "id") for n in _PLANTABLE}
     out |= {f"valid_{n}": _values_sql(v, "value, valid") for n, v in VECTORS.items()}
-    return out | images.oracle_sql()
+    out |= {f"detect_{n}_count": oracles.counts(n, "documents", "doc_id") for n in ("iban", "bic", "ip_address", "mac_address", "url", "ssn", "date_of_birth", "phone", "person_name")}
+    return {k: v for k, v in out.items() if v} | images.oracle_sql()

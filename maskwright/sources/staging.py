@@ -33,15 +33,24 @@ def staged(spark: SparkSession, target: str, job: str):
     final, fs = _path(spark, target)
     parent = final.getParent()
     name = f".{final.getName()}.{hashlib.sha256(job.encode()).hexdigest()[:8]}.part"
-    part = spark._jvm.org.apache.hadoop.fs.Path(parent, name) if parent is not None else spark._jvm.org.apache.hadoop.fs.Path(name)
+    beside = lambda n: spark._jvm.org.apache.hadoop.fs.Path(parent, n) if parent is not None else spark._jvm.org.apache.hadoop.fs.Path(n)
+    part, old = beside(name), beside(f"{name[:-5]}.old")
     fs.delete(part, True)
     try:
         yield part.toString()
         if parent is not None:
             fs.mkdirs(parent)
-        fs.delete(final, True)
+        # what is there steps aside until the new one has its name, so that a crash never loses both
+        aside = fs.exists(final)
+        if aside:
+            fs.delete(old, True)
+            if not fs.rename(final, old):
+                raise OSError(f"{final} could not be renamed to {old}")
         if not fs.rename(part, final):
+            if aside:
+                fs.rename(old, final)
             raise OSError(f"{part} could not be renamed to {final}")
+        fs.delete(old, True)
     finally:
         fs.delete(part, True)
 
