@@ -10,7 +10,8 @@ the windows of its own rows, so that a passage which very many documents hold is
 from one place to another before c, and for each such place the first window that allows it is a head, to which the others
 that allow it are joined. A head stands for all places of its document in the group. A window that differs from its head
 some way (DEEPER shingles) from c may share more with another one: it is filed once more under that many shingles, in a
-second round. Pairs of documents that meet under enough hash functions are candidates.
+second round. Pairs of documents that meet under ENOUGH hash functions are candidates: one, as the heads that stand for a
+passage under different hashes may belong to different documents, so that two votes for one pair can't be asked for.
 4. Candidates are verified on their words around the windows: passages of ``least`` words or more whose shingle sets have
 a similarity of ``percent`` or more, also within a looser alignment.
 
@@ -19,37 +20,71 @@ No pairs within a group are made: a passage that n documents hold gives n - 1 ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm import textkit
 from maskwright.llm.shared import cut, id_filter, passes, text_of
 
-HASHES, ENOUGH, CONTEXT, SIZE = 3, 2, 12, 5
+HASHES, ENOUGH, CONTEXT, SIZE = 3, 1, 12, 5
 DEEPER = (18, 24, 30, 36, 42)
 LEAST_WORDS, PERCENT = 50, 75
-BLOCK_ROWS = 1 << 18
+BLOCK_ROWS, REPEATED = 1 << 18, 8
 _RANDOM = np.random.default_rng(5)
 _XOR = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _FACTOR = _RANDOM.integers(0, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BACK = np.uint64(pow(int(textkit._BASE), -1, 1 << 64))
 
 
-def compact_windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) for each node of the Cartesian tree whose span l..r (both included) has ``least`` places or more."""
-    out, stack = [], [(0, len(hashes) - 1)]
+class _Least:
+    """The first least place of any span, by the least places of blocks of SPAN and of 2, 4, 8 .. blocks: a span costs a look
+    at two blocks and two table entries, however long it is."""
+
+    SPAN = 512
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        n = len(hashes) // self.SPAN
+        level = hashes[: n * self.SPAN].reshape(n, self.SPAN).argmin(axis=1) + np.arange(n) * self.SPAN
+        self.levels = [level]
+        while len(level) > 1 << (len(self.levels) - 1):
+            step = 1 << (len(self.levels) - 1)
+            x, y = level[:-step], level[step:]
+            level = np.where(hashes[y] < hashes[x], y, x)
+            self.levels.append(level)
+
+    def place(self, left: int, right: int) -> int:
+        """In left .. right, both included."""
+        h, span = self.hashes, self.SPAN
+        if right - left < 4 * span:
+            return left + int(h[left : right + 1].argmin())
+        first, last = -(-left // span), (right + 1) // span  # whole blocks first .. last - 1
+        k = (last - first).bit_length() - 1
+        some = [self.levels[k][first], self.levels[k][last - (1 << k)]]
+        if left < first * span:
+            some.append(left + h[left : first * span].argmin())
+        if last * span <= right:
+            some.append(last * span + h[last * span : right + 1].argmin())
+        return int(min(some, key=lambda i: (h[i], i)))
+
+
+def compact_windows(hashes: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(l, c, r) for each node of the Cartesian tree whose span l..r (both included) has ``least`` places or more; of equal
+    hashes the first is the least. From left to right along each right spine, so that equal neighbours follow each other."""
+    lowest, stack = _Least(hashes), [(0, len(hashes) - 1)]
     while stack:
         left, right = stack.pop()
         if right - left + 1 < least:
             continue
-        c = left + int(hashes[left : right + 1].argmin())
-        out.append((left, c, right))
+        c = lowest.place(left, right)
+        yield left, c, right
         stack.append((left, c - 1))
         stack.append((c + 1, right))
-    return out
 
 
 def _contexts(values: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
@@ -74,7 +109,17 @@ def _filed(w: textkit.Words, ids: np.ndarray, least: int):
         a, b = int(bounds[d]), int(bounds[d + 1])
         found: dict[int, list[int]] = {}
         for j, h in enumerate(hashed):
+            # where a text goes on repeating a few words, equal least shingles with equal shingles after them follow each
+            # other at once, and every window but the last begins further left: one in REPEATED places is enough
+            before: dict[int, int] = {}
             for left, c, right in compact_windows(h[a:b], least):
+                if left and a + c < len(ahead):
+                    context = int(ahead[a + c])
+                    if 0 < c - before.get(context, -REPEATED) < REPEATED and h[a + left - 1] == h[a + c]:
+                        continue
+                    if len(before) > 64:
+                        before.clear()
+                    before[context] = c
                 had = found.get(c)
                 if had is None:
                     found[c] = [c - left, right - c, 1 << j]
@@ -262,33 +307,32 @@ def _word_lists(bits_sent, schema: pa.Schema):
     return run
 
 
-_FEW = 8
-
-
 def _places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each shingle of a, where b holds it, or -1. Where b has it several times, the place on the shift between the
-    texts that most shingles agree on; of very frequent shingles, the place nearest to the commonest shift."""
-    place = np.full(len(a), -1)
+    """For each shingle of a, where b holds it, or -1. Where b has it several times, the place nearest to the shift of the
+    last shingle before that b has once (else of the next one after, else none)."""
     order = np.argsort(b, kind="stable")
     low, high = (np.searchsorted(b[order], a, side=side) for side in ("left", "right"))
     many = high - low
-    some = np.flatnonzero((many > 0) & (many <= _FEW))
-    best = 0
-    if len(some):
-        at = np.repeat(some, many[some])
-        nth = np.arange(len(at)) - np.repeat(np.concatenate([[0], np.cumsum(many[some])[:-1]]), many[some])
-        found = order[low[at] + nth]
-        shifts, own, votes = np.unique(found - at, return_inverse=True, return_counts=True)
-        best = int(shifts[votes.argmax()])
-        ranked = np.lexsort((found, -votes[own], at))
-        first = np.concatenate([[True], at[ranked][1:] != at[ranked][:-1]])
-        place[at[ranked][first]] = found[ranked][first]
-    for i in np.flatnonzero(many > _FEW):
-        own = order[low[i] : high[i]]
-        k = min(int(np.searchsorted(own, i + best)), len(own) - 1)
-        place[i] = own[k - 1] if k and abs(own[k - 1] - i - best) <= abs(own[k] - i - best) else own[k]
-    # a shingle of several places follows its neighbour's, or an equal passage would be torn there
+    place = np.full(len(a), -1)
+    once = np.flatnonzero(many == 1)
+    place[once] = order[low[once]]
     several = np.flatnonzero(many > 1)
+    if not len(several):
+        return place
+    shift = np.zeros(len(several), np.int64)
+    if len(once):
+        shifts = place[once] - once
+        shift = shifts[np.maximum(np.searchsorted(once, several, side="right") - 1, 0)]
+    # places of b by value, then place: the nearest one to the place wanted lies beside it
+    wide = np.int64(len(b) + 1)
+    ranked = np.concatenate([[0], np.cumsum(b[order][1:] != b[order][:-1])]) * wide + order
+    rank = ranked[low[several]] // wide
+    wanted = np.clip(several + shift, 0, len(b) - 1)
+    after = np.clip(np.searchsorted(ranked, rank * wide + wanted), low[several], high[several] - 1)
+    before = np.maximum(after - 1, low[several])
+    nearer = np.abs(order[before] - wanted) <= np.abs(order[after] - wanted)
+    place[several] = order[np.where(nearer, before, after)]
+    # a shingle of several places follows its neighbour's, or an equal passage would be torn there
     for i in several:
         if i and 0 <= place[i - 1] < len(b) - 1 and b[place[i - 1] + 1] == a[i]:
             place[i] = place[i - 1] + 1
@@ -401,7 +445,40 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     both = pairs.select("pair", "id", "id2").join(parts.filter("side = 0").drop("side"), "pair").join(parts.filter("side = 1").select("pair", F.col("at").alias("at2"), F.col("part").alias("part2")), "pair")
     result = pa.schema([("doc_id", pa.int64()), ("first_doc_id", pa.int64()), *[(n, pa.int32()) for n in ("start_word", "end_word", "first_start_word", "first_end_word")], ("similarity", pa.float64())])
     found = both.select("id", "id2", "at", "part", "at2", "part2").mapInArrow(_verify(least_words, percent, result), _RESULT)
+    found = cut(found, "passages")
+    # a head may hold its part from an earlier document in turn, which stands for it: from the head of a task to that of
+    # all tasks, and to that of another round
+    for _ in range(2):
+        found = _handed_on(found)
     # several heads may lead to several earlier documents: the most similar one, of these the first, stands for them
+    found = _joined_up(found)
     rest = ("first_doc_id", "first_start_word", "first_end_word", "similarity")
-    best = found.groupBy("doc_id", "start_word", "end_word").agg(F.max_by(F.struct(*rest), F.struct("similarity", -F.col("first_doc_id"), "first_start_word")).alias("b"))
+    best = found.groupBy("doc_id", "start_word", "end_word").agg(F.max_by(F.struct(*rest), F.struct("similarity", -F.col("first_doc_id"), -F.col("first_start_word"))).alias("b"))
     return best.select("doc_id", "b.first_doc_id", "start_word", "end_word", "b.first_start_word", "b.first_end_word", "b.similarity")
+
+
+def _joined_up(found: DataFrame) -> DataFrame:
+    """Parts of one passage that were verified by themselves, as their windows met apart: equal ones of the same two
+    documents that overlap at one shift become one, and what lies within another of the same documents goes."""
+    exact = (F.col("similarity") == 1) & (F.col("end_word") - F.col("start_word") == F.col("first_end_word") - F.col("first_start_word"))
+    # rows that aren't equal stay by themselves
+    rows = found.distinct().withColumn("shift", F.when(exact, F.col("first_start_word") - F.col("start_word"))).withColumn("own", F.when(~exact, F.struct("start_word", "end_word", "first_start_word", "first_end_word")))
+    chain = Window.partitionBy("doc_id", "first_doc_id", "shift", "own").orderBy("start_word", "end_word")
+    rows = rows.withColumn("fresh", F.coalesce(F.col("start_word") > F.max("end_word").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    rows = rows.withColumn("part", F.sum(F.col("fresh").cast("int")).over(chain))
+    ends = [F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_start_word").alias("first_start_word"), F.max("first_end_word").alias("first_end_word"), F.max("similarity").alias("similarity")]
+    rows = rows.groupBy("doc_id", "first_doc_id", "shift", "own", "part").agg(*ends)
+    wide = Window.partitionBy("doc_id", "first_doc_id").orderBy("start_word", F.desc("end_word"), F.desc("similarity"), "first_start_word", "first_end_word").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("upto", F.max("end_word").over(wide)).filter("upto is null or upto < end_word").select(*found.columns)
+
+
+def _handed_on(found: DataFrame) -> DataFrame:
+    """The rows; where a row's part of the earlier document lies within an equal passage that this one has from a still
+    earlier document, that one (the first of these) takes its place."""
+    equal = found.filter("similarity = 1 and end_word - start_word = first_end_word - first_start_word")
+    up = equal.select(F.col("doc_id").alias("of"), F.col("start_word").alias("low"), F.col("end_word").alias("high"), F.col("first_doc_id").alias("to"), (F.col("first_start_word") - F.col("start_word")).alias("shift"))
+    met = found.join(up, (F.col("first_doc_id") == F.col("of")) & (F.col("low") <= F.col("first_start_word")) & (F.col("high") >= F.col("first_end_word")), "left")
+    one = met.groupBy(*found.columns).agg(F.min(F.when(F.col("to").isNotNull(), F.struct("to", "shift"))).alias("u"))
+    shift = F.coalesce(F.col("u.shift"), F.lit(0))
+    moved = {"first_doc_id": F.coalesce("u.to", "first_doc_id"), "first_start_word": F.col("first_start_word") + shift, "first_end_word": F.col("first_end_word") + shift}
+    return one.withColumns(moved).select(*found.columns)
