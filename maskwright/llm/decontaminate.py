@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The test items are the query set, the corpus is all rows. 1. One pass counts, over the whole corpus, in how many
-documents each word n-gram of the items occurs. 2. The rarer part of each item's own n-grams become its seeds, so that
-an item that leaks into very many documents keeps its seeds. 3. A second pass looks the seeds up in each document, and
-aligns the item with the passage around every cluster of seeds (local alignment over words, affine to edits: a
-match counts 2, a mismatch or gap -1). A passage whose score is at least ``least`` of a full copy's is a leak.
+documents each word n-gram of the items occurs. 2. The rarer 70 % of each item's own n-grams become its seeds, so that
+an item that leaks into very many documents keeps its seeds; a short item (below SHORT words), of which edits leave few
+n-grams, keeps all. 3. A second pass looks the seeds up in each document, and aligns the item with the passage around every
+cluster of two seeds (of one, for short items) by local alignment over words: a match counts 2, a mismatch or gap -1. A
+passage whose score is at least ``least`` of a full copy's is a leak. Of 15 words any 4 may be replaced (a score of 0.6);
+of an item of fewer than 8 words, ``gram`` in a row must be whole.
 
 Items are sent to the tasks in blocks of at most ``block_items`` items and ``block_bytes`` of text, one pass for each
 block, so what is broadcast is bounded however large the benchmark is. There is no shuffle of texts.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from maskwright.llm import textkit
 from maskwright.llm.shared import free_name, row_key, text_of
 
-GRAM, LEAST, RARE_SHARE = 3, 0.5, 0.7
+GRAM, LEAST, RARE_SHARE, SHORT = 3, 0.5, 0.7, 40
 MATCH, OTHER = 2, -1
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 _FILTER_BITS = 22
@@ -86,7 +88,7 @@ class Items:
         return Items(ids, words, codes, np.append(first, len(code)), item, place, short)
 
     def rare(self, counts: dict[int, int], share: float) -> Items:
-        """Only the rarer part of each item's grams, by the number of documents that have them."""
+        """Only the rarer part of each item's grams, by the number of documents that have them; all of a short item."""
         n = np.array([counts.get(int(c), 0) for c in self.codes.view(np.int64)], np.int64)
         each = np.repeat(n, np.diff(self.at))
         keep = np.zeros(len(self.item), bool)
@@ -94,7 +96,7 @@ class Items:
         bounds = np.searchsorted(self.item[order], np.arange(len(self.words) + 1))
         for i in range(len(self.words)):
             own = order[bounds[i] : bounds[i + 1]]
-            keep[own[: max(min(8, len(own)), int(np.ceil(share * len(own))))]] = True
+            keep[own if len(self.words[i]) < SHORT else own[: int(np.ceil(share * len(own)))]] = True
         code = np.repeat(self.codes, np.diff(self.at))[keep]
         codes, first = np.unique(code, return_index=True)
         return Items(self.ids, self.words, codes, np.append(first, len(code)), self.item[keep], self.place[keep], self.short)
@@ -166,7 +168,7 @@ def leaks_in(words: np.ndarray, places: np.ndarray, codes: np.ndarray, items: It
     for i, a, b in zip(*_runs(item)):
         query = items.words[i]
         starts = np.sort(diagonal[a:b])
-        need = min(2, max(1, len(query) - GRAM + 1))
+        need = 1 if len(query) < SHORT else 2
         # seeds of one copy lie on near diagonals; clusters of them are aligned, each once
         for c, d in _clusters(starts, max(8, len(query) // 2)):
             if d - c < need:
