@@ -45,7 +45,7 @@ class _Least:
     """The first least place of any span, by the least places of blocks of SPAN and of 2, 4, 8 .. blocks: a span costs a look
     at two blocks and two table entries, however long it is."""
 
-    SPAN = 512
+    SPAN, SHORT = 512, 2048
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
@@ -59,10 +59,8 @@ class _Least:
             self.levels.append(level)
 
     def place(self, left: int, right: int) -> int:
-        """In left .. right, both included."""
+        """In left .. right, both included, SHORT places apart or more."""
         h, span = self.hashes, self.SPAN
-        if right - left < 4 * span:
-            return left + int(h[left : right + 1].argmin())
         first, last = -(-left // span), (right + 1) // span  # whole blocks first .. last - 1
         k = (last - first).bit_length() - 1
         some = [self.levels[k][first], self.levels[k][last - (1 << k)]]
@@ -76,15 +74,19 @@ class _Least:
 def compact_windows(hashes: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """(l, c, r) for each node of the Cartesian tree whose span l..r (both included) has ``least`` places or more; of equal
     hashes the first is the least. From left to right along each right spine, so that equal neighbours follow each other."""
-    lowest, stack = _Least(hashes), [(0, len(hashes) - 1)]
+    lowest, stack = None, [(0, len(hashes) - 1)] if len(hashes) >= least else []
     while stack:
         left, right = stack.pop()
-        if right - left + 1 < least:
-            continue
-        c = lowest.place(left, right)
+        if right - left < _Least.SHORT:
+            c = left + int(hashes[left : right + 1].argmin())
+        else:
+            lowest = lowest or _Least(hashes)
+            c = lowest.place(left, right)
         yield left, c, right
-        stack.append((left, c - 1))
-        stack.append((c + 1, right))
+        if c - left >= least:
+            stack.append((left, c - 1))
+        if right - c >= least:
+            stack.append((c + 1, right))
 
 
 def _contexts(values: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
@@ -104,8 +106,10 @@ def _filed(w: textkit.Words, ids: np.ndarray, least: int):
     deeper = [(x % np.uint64(4095)).astype(np.int64) + 1 for x in deeper]
     hashed = [((values ^ x) * f) >> np.uint64(32) for x, f in zip(_XOR, _FACTOR)]
     hashed = [h.astype(np.uint32) for h in hashed]
-    rows: list[np.ndarray] = []
-    for d in np.flatnonzero(np.diff(bounds) >= least):
+    places: list[int] = []
+    rest: list[list[int]] = []
+    documents, counts = np.flatnonzero(np.diff(bounds) >= least), []
+    for d in documents:
         a, b = int(bounds[d]), int(bounds[d + 1])
         found: dict[int, list[int]] = {}
         for j, h in enumerate(hashed):
@@ -113,9 +117,9 @@ def _filed(w: textkit.Words, ids: np.ndarray, least: int):
             # other at once, and every window but the last begins further left: one in REPEATED places is enough
             before: dict[int, int] = {}
             for left, c, right in compact_windows(h[a:b], least):
-                if left and a + c < len(ahead):
+                if left and h[a + left - 1] == h[a + c] and a + c < len(ahead):
                     context = int(ahead[a + c])
-                    if 0 < c - before.get(context, -REPEATED) < REPEATED and h[a + left - 1] == h[a + c]:
+                    if 0 < c - before.get(context, -REPEATED) < REPEATED:
                         continue
                     if len(before) > 64:
                         before.clear()
@@ -125,19 +129,25 @@ def _filed(w: textkit.Words, ids: np.ndarray, least: int):
                     found[c] = [c - left, right - c, 1 << j]
                 else:
                     had[0], had[1], had[2] = max(had[0], c - left), max(had[1], right - c), had[2] | 1 << j
-        c = np.fromiter(found, np.int64, len(found))
-        rest = np.array(list(found.values()), np.int64)
-        for side in (0, 1):
-            at = a + c - side * (CONTEXT - 1)
-            ok = (at >= a) & (at + CONTEXT <= b)
-            key = textkit.mix(ahead[at[ok]] + np.uint64(side + 1)).view(np.int64)
-            deep = np.zeros(len(key), np.int64)
-            for i, size in enumerate(DEEPER):
-                at = a + c[ok] - side * (size - 1)
-                whole = np.flatnonzero((at >= a) & (at + size <= b))
-                deep[whole] |= deeper[i][at[whole]] << 12 * i
-            rows.append(np.column_stack([key, np.full(len(key), ids[d]), c[ok], rest[ok], deep]))
-    return np.concatenate(rows) if rows else np.zeros((0, 7), np.int64)
+        places += found
+        rest += found.values()
+        counts.append(len(found))
+    if not places:
+        return np.zeros((0, 7), np.int64)
+    c, spans = np.array(places), np.array(rest, np.int64)
+    low, high, own = (np.repeat(x, counts) for x in (bounds[documents], bounds[documents + 1], ids[documents]))
+    rows: list[np.ndarray] = []
+    for side in (0, 1):
+        at = low + c - side * (CONTEXT - 1)
+        ok = np.flatnonzero((at >= low) & (at + CONTEXT <= high))
+        key = textkit.mix(ahead[at[ok]] + np.uint64(side + 1)).view(np.int64)
+        deep = np.zeros(len(key), np.int64)
+        for i, size in enumerate(DEEPER):
+            at = (low + c)[ok] - side * (size - 1)
+            whole = np.flatnonzero((at >= low[ok]) & (at + size <= high[ok]))
+            deep[whole] |= deeper[i][at[whole]] << 12 * i
+        rows.append(np.column_stack([key, own[ok], c[ok], spans[ok], deep]))
+    return np.concatenate(rows)
 
 
 _DEALT = "key long, id long, c int, left int, right int, mask int, deep long, id2 long, c2 int"
@@ -430,7 +440,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     links = links.select(high.alias("id"), low.alias("id2"), mine.alias("c"), other.alias("c2"), "mask")
     pairs = links.groupBy("id", "id2").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("c2").alias("a2"), F.max("c2").alias("b2"), F.expr("bit_or(mask)").alias("mask"))
     pairs = pairs.filter(F.bit_count("mask") >= ENOUGH).drop("mask").withColumn("pair", F.monotonically_increasing_id())
-    pairs = cut(pairs, "passage-pairs")
+    pairs = cut(pairs, "passage-pairs", batch_rows=2000)
 
     # an equal passage that went on for longer would hold another window of either document
     margin = least_words + CONTEXT + SIZE
@@ -441,11 +451,11 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     words = rows.mapInArrow(_word_lists(bits, lists), "id long, words binary")
     at = F.greatest(F.col("low"), F.lit(0))
     part = F.substring("words", 8 * at + 1, 8 * (F.col("high") - at))
-    parts = cut(words.join(ends, "id").select("pair", "side", at.alias("at"), part.alias("part")), "passage-parts")
+    parts = cut(words.join(ends, "id").select("pair", "side", at.alias("at"), part.alias("part")), "passage-parts", batch_rows=1000)
     both = pairs.select("pair", "id", "id2").join(parts.filter("side = 0").drop("side"), "pair").join(parts.filter("side = 1").select("pair", F.col("at").alias("at2"), F.col("part").alias("part2")), "pair")
     result = pa.schema([("doc_id", pa.int64()), ("first_doc_id", pa.int64()), *[(n, pa.int32()) for n in ("start_word", "end_word", "first_start_word", "first_end_word")], ("similarity", pa.float64())])
     found = both.select("id", "id2", "at", "part", "at2", "part2").mapInArrow(_verify(least_words, percent, result), _RESULT)
-    found = cut(found, "passages")
+    found = cut(found, "passages", batch_rows=500)
     # a head may hold its part from an earlier document in turn, which stands for it: from the head of a task to that of
     # all tasks, and to that of another round
     for _ in range(2):

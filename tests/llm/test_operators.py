@@ -591,6 +591,35 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_by_all_alignments(spark):
+    """Every document against every item: edited copies of short and long items, found as aligning all of them finds."""
+    r = random.Random(41)
+    items = [prose(r.choice([2, 4, 15, 18, 30, 45, 59]), 7000 + i).split() for i in range(60)]
+    texts = []
+    for k in range(240):
+        item = list(items[k % 60])
+        for i in r.sample(range(len(item)), r.randrange(0, len(item) // 3 + 1)):
+            item[i : i + 1] = r.choice([[f"edit{r.randrange(10**6)}"], [], ["more", f"new{i}"]])
+        texts.append(" ".join([prose(r.randrange(20, 60), 100 + k), *item, prose(r.randrange(20, 60), 900 + k)]))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    hashed = lambda words: np.concatenate([w.hash for w in textkit.words(pa.array([" ".join(words)]))])
+    queries, missed, total = [hashed(x) for x in items], collections.Counter(), collections.Counter()
+    for d, t in enumerate(texts):
+        own = hashed(t.split())
+        for i, q in enumerate(queries):
+            score = decontaminate.aligned(q, own)[0] / (2 * len(q))
+            if score >= 0.5:
+                total[len(q)] += 1
+                missed[len(q)] += (d, i) not in got
+            else:
+                assert (d, i) not in got
+            if (d, i) in got:
+                assert abs(got[d, i] - score) < 1e-9
+    long = [n for n in total if n >= 8]
+    assert sum(total[n] for n in long) > 150 and sum(missed[n] for n in long) <= 0.01 * sum(total[n] for n in long), (missed, total)
+
+
 def test_common_items_keep_their_seeds(spark):
     item = prose(30, 77)
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
