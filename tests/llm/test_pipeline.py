@@ -64,4 +64,6 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in llm.queries()] == [f"op{i}" for i in range(1, 11)]
+    names = [n for n in llm.queries() if not n.startswith("check_")]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert all(n in llm.oracle_sql() for n in llm.queries() if n.startswith("check_"))
