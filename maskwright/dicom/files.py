@@ -1,13 +1,15 @@
 """Files of medical images: explicit VR little endian in and out, as attribute tables.
 
 ``read`` parses on the executors from Spark's binary source; a file that can't be read is reported, not fatal.
-``write`` needs a folder that all executors can write by path (a mounted share).
+``write`` puts files into any file system that pyarrow knows by the scheme of the target (hdfs, s3, gs, or a folder that
+all executors share).
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -188,22 +190,41 @@ def skipped(attributes: DataFrame) -> DataFrame:
     return attributes.filter("vr = '!'").select("instance", F.get("values", F.lit(0)).alias("reason"))
 
 
+def _plain(path: str) -> str:
+    """A path without scheme and host, with one slash before it."""
+    if "://" in path:
+        path = path.split("://", 1)[1].partition("/")[2]
+    elif path.startswith("file:"):
+        path = path[5:]
+    else:
+        path = os.path.abspath(path)
+    return "/" + path.strip("/")
+
+
 def write(attributes: DataFrame, source: str, target: str) -> DataFrame:
-    """Write each instance below target, at its place below source. Returns (instance, written); lazy until it is used."""
-    root = "/" + source.split(":", 1)[-1].strip("/") if "://" in source or source.startswith("file:") else os.path.abspath(source)
+    """Write each instance below target, at its place below source. Returns (instance, written); lazy until it is used.
+
+    A file is written beside its place and then moved there, so that a task that is repeated leaves whole files."""
+    root = _plain(source)
+    uri = target if "://" in target or target.startswith("file:") else os.path.abspath(target)
+    if uri.startswith("file:") and "://" not in uri:
+        uri = "file://" + uri[5:]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
         name = frame["instance"].iloc[0]
-        place = "/" + name.split(":", 1)[-1].lstrip("/")
+        place = _plain(name)
         relative = os.path.relpath(place, root) if place.startswith(root.rstrip("/") + "/") else os.path.basename(place)
-        full = os.path.join(target, relative)
-        os.makedirs(os.path.dirname(full), exist_ok=True)
+        system, base = fs.FileSystem.from_uri(uri)
+        full = f"{base.rstrip('/')}/{relative}"
+        system.create_dir(os.path.dirname(full), recursive=True)
         paths = [tuple((s["tag"], s["item"]) for s in p) for p in frame["seq_path"]]
         rows = [{"path": p, "tag": t, "vr": v, "values": list(x), "raw": r} for p, t, v, x, r in zip(paths, frame["tag"], frame["vr"], frame["values"], frame["raw"])]
-        part = f"{full}.part"
-        with open(part, "wb") as f:
+        part = f"{full}.{uuid.uuid4().hex[:8]}.part"
+        with system.open_output_stream(part) as f:
             f.write(build(rows))
-        os.replace(part, full)
+        system.move(part, full)
         return pd.DataFrame({"instance": [name], "written": [full]})
 
     return attributes.groupBy("instance").applyInPandas(run, "instance string, written string")

@@ -6,68 +6,106 @@ import re
 
 from maskwright.errors import PolicyError
 
-# Standard attributes by keyword, as "group element", and the basic profile.
-ATTRIBUTES = """
-PatientName 0010 0010 PN; PatientID 0010 0020 LO; IssuerOfPatientID 0010 0021 LO; PatientBirthDate 0010 0030 DA; PatientBirthTime 0010 0032 TM
-PatientBirthDateInAlternativeCalendar 0010 0033 LO; PatientDeathDateInAlternativeCalendar 0010 0034 LO; PatientSex 0010 0040 CS
-PatientInsurancePlanCodeSequence 0010 0050 SQ; OtherPatientIDs 0010 1000 LO; OtherPatientNames 0010 1001 PN; OtherPatientIDsSequence 0010 1002 SQ
-PatientBirthName 0010 1005 PN; PatientAge 0010 1010 AS; PatientAddress 0010 1040 LO; PatientMotherBirthName 0010 1060 PN; MilitaryRank 0010 1080 LO
-BranchOfService 0010 1081 LO; MedicalRecordLocator 0010 1090 LO; CountryOfResidence 0010 2150 LO; RegionOfResidence 0010 2152 LO
-PatientTelephoneNumbers 0010 2154 SH; PatientTelecomInformation 0010 2155 LT; EthnicGroup 0010 2160 SH; Occupation 0010 2180 SH
-AdditionalPatientHistory 0010 21B0 LT; PatientReligiousPreference 0010 21F0 LO; ResponsiblePerson 0010 2297 PN; ResponsibleOrganization 0010 2299 LO
-PatientComments 0010 4000 LT; InstanceCreationDate 0008 0012 DA; InstanceCreatorUID 0008 0014 UI; SOPClassUID 0008 0016 UI; SOPInstanceUID 0008 0018 UI
-StudyDate 0008 0020 DA; SeriesDate 0008 0021 DA; AcquisitionDate 0008 0022 DA; ContentDate 0008 0023 DA; AcquisitionDateTime 0008 002A DT
-AccessionNumber 0008 0050 SH; Modality 0008 0060 CS; InstitutionName 0008 0080 LO; InstitutionAddress 0008 0081 ST; InstitutionCodeSequence 0008 0082 SQ
-ReferringPhysicianName 0008 0090 PN; ReferringPhysicianAddress 0008 0092 ST; ReferringPhysicianTelephoneNumbers 0008 0094 SH
-ReferringPhysicianIdentificationSequence 0008 0096 SQ; StationName 0008 1010 SH; StudyDescription 0008 1030 LO; SeriesDescription 0008 103E LO
-InstitutionalDepartmentName 0008 1040 LO; PhysiciansOfRecord 0008 1048 PN; PhysiciansOfRecordIdentificationSequence 0008 1049 SQ
-PerformingPhysicianName 0008 1050 PN; PerformingPhysicianIdentificationSequence 0008 1052 SQ; NameOfPhysiciansReadingStudy 0008 1060 PN
-OperatorsName 0008 1070 PN; OperatorIdentificationSequence 0008 1072 SQ; AdmittingDiagnosesDescription 0008 1080 LO; ReferencedPatientSequence 0008 1120 SQ
-ReferencedSOPInstanceUID 0008 1155 UI; DerivationDescription 0008 2111 ST; SourceImageSequence 0008 2112 SQ; IrradiationEventUID 0008 3010 UI
-DerivationCodeSequence 0008 9215 SQ; PlateID 0018 1004 LO; CassetteID 0018 1007 LO; GantryID 0018 1008 LO; DeviceSerialNumber 0018 1000 LO
-DeviceUID 0018 1002 UI; ProtocolName 0018 1030 LO; AcquisitionComments 0018 4000 LT; DetectorID 0018 700A SH; CalibrationDate 0018 1200 DA
-StudyInstanceUID 0020 000D UI; SeriesInstanceUID 0020 000E UI; StudyID 0020 0010 SH; FrameOfReferenceUID 0020 0052 UI
-SynchronizationFrameOfReferenceUID 0020 0200 UI; ConcatenationUID 0020 9161 UI; DimensionOrganizationUID 0020 9164 UI; ImageComments 0020 4000 LT
-Rows 0028 0010 US; Columns 0028 0011 US; BitsAllocated 0028 0100 US; BurnedInAnnotation 0028 0301 CS; PaletteColorLookupTableUID 0028 1199 UI
-ReasonForStudy 0032 1030 LO; RequestingPhysician 0032 1032 PN; RequestedProcedureDescription 0032 1060 LO; StudyComments 0032 4000 LT; AdmissionID 0038 0010 LO
-IssuerOfAdmissionIDSequence 0038 0014 SQ; AdmittingDate 0038 0020 DA; ServiceEpisodeDescription 0038 0062 LO; CurrentPatientLocation 0038 0300 LO
-PatientInstitutionResidence 0038 0400 LO; PatientState 0038 0500 LO; VisitComments 0038 4000 LT; ScheduledProcedureStepStartDate 0040 0002 DA
-ScheduledPerformingPhysicianName 0040 0006 PN; ScheduledProcedureStepDescription 0040 0007 LO; ScheduledProcedureStepID 0040 0009 SH
-PerformedProcedureStepStartDate 0040 0244 DA; PerformedProcedureStepID 0040 0253 SH; PerformedProcedureStepDescription 0040 0254 LO
-SpecimenAccessionNumber 0040 050A LO; AcquisitionContextSequence 0040 0555 SQ; RequestedProcedureID 0040 1001 SH; ReasonForVisit 0032 1066 UT
-RequestedProcedureComments 0040 1400 LT; PlacerOrderNumberImagingServiceRequest 0040 2016 LO; FillerOrderNumberImagingServiceRequest 0040 2017 LO
-VerificationDateTime 0040 A030 DT; VerifyingObserverSequence 0040 A073 SQ; VerifyingObserverName 0040 A075 PN; AuthorObserverSequence 0040 A078 SQ
-TextValue 0040 A160 UT; ContentSequence 0040 A730 SQ; ContentDescription 0070 0081 LO; ContentCreatorName 0070 0084 PN; FiducialUID 0070 031A UI
-ReferencedFrameOfReferenceUID 3006 0024 UI; StorageMediaFileSetUID 0088 0140 UI; ReviewerName 300E 0008 PN; ModifiedAttributesSequence 0400 0550 SQ
-OriginalAttributesSequence 0400 0561 SQ; PixelData 7FE0 0010 OW
-"""
+# Standard attributes by keyword, their numbers and representations, and the basic profile.
+ATTRIBUTES = {
+    "PatientName": ("00100010", "PN"), "PatientID": ("00100020", "LO"), "IssuerOfPatientID": ("00100021", "LO"),
+    "PatientBirthDate": ("00100030", "DA"), "PatientBirthTime": ("00100032", "TM"), "PatientBirthDateInAlternativeCalendar": ("00100033", "LO"),
+    "PatientDeathDateInAlternativeCalendar": ("00100034", "LO"), "PatientSex": ("00100040", "CS"),
+    "PatientInsurancePlanCodeSequence": ("00100050", "SQ"), "OtherPatientIDs": ("00101000", "LO"), "OtherPatientNames": ("00101001", "PN"),
+    "OtherPatientIDsSequence": ("00101002", "SQ"), "PatientBirthName": ("00101005", "PN"), "PatientAge": ("00101010", "AS"),
+    "PatientAddress": ("00101040", "LO"), "PatientMotherBirthName": ("00101060", "PN"), "MilitaryRank": ("00101080", "LO"),
+    "BranchOfService": ("00101081", "LO"), "MedicalRecordLocator": ("00101090", "LO"), "CountryOfResidence": ("00102150", "LO"),
+    "RegionOfResidence": ("00102152", "LO"), "PatientTelephoneNumbers": ("00102154", "SH"), "PatientTelecomInformation": ("00102155", "LT"),
+    "EthnicGroup": ("00102160", "SH"), "Occupation": ("00102180", "SH"), "AdditionalPatientHistory": ("001021B0", "LT"),
+    "PatientReligiousPreference": ("001021F0", "LO"), "ResponsiblePerson": ("00102297", "PN"), "ResponsibleOrganization": ("00102299", "LO"),
+    "PatientComments": ("00104000", "LT"), "InstanceCreationDate": ("00080012", "DA"), "InstanceCreatorUID": ("00080014", "UI"),
+    "SOPClassUID": ("00080016", "UI"), "SOPInstanceUID": ("00080018", "UI"), "StudyDate": ("00080020", "DA"), "SeriesDate": ("00080021", "DA"),
+    "AcquisitionDate": ("00080022", "DA"), "ContentDate": ("00080023", "DA"), "AcquisitionDateTime": ("0008002A", "DT"),
+    "AccessionNumber": ("00080050", "SH"), "Modality": ("00080060", "CS"), "InstitutionName": ("00080080", "LO"),
+    "InstitutionAddress": ("00080081", "ST"), "InstitutionCodeSequence": ("00080082", "SQ"), "ReferringPhysicianName": ("00080090", "PN"),
+    "ReferringPhysicianAddress": ("00080092", "ST"), "ReferringPhysicianTelephoneNumbers": ("00080094", "SH"),
+    "ReferringPhysicianIdentificationSequence": ("00080096", "SQ"), "StationName": ("00081010", "SH"), "StudyDescription": ("00081030", "LO"),
+    "SeriesDescription": ("0008103E", "LO"), "InstitutionalDepartmentName": ("00081040", "LO"), "PhysiciansOfRecord": ("00081048", "PN"),
+    "PhysiciansOfRecordIdentificationSequence": ("00081049", "SQ"), "PerformingPhysicianName": ("00081050", "PN"),
+    "PerformingPhysicianIdentificationSequence": ("00081052", "SQ"), "NameOfPhysiciansReadingStudy": ("00081060", "PN"),
+    "OperatorsName": ("00081070", "PN"), "OperatorIdentificationSequence": ("00081072", "SQ"), "AdmittingDiagnosesDescription": ("00081080", "LO"),
+    "ReferencedPatientSequence": ("00081120", "SQ"), "ReferencedSOPInstanceUID": ("00081155", "UI"), "DerivationDescription": ("00082111", "ST"),
+    "SourceImageSequence": ("00082112", "SQ"), "IrradiationEventUID": ("00083010", "UI"), "DerivationCodeSequence": ("00089215", "SQ"),
+    "PlateID": ("00181004", "LO"), "CassetteID": ("00181007", "LO"), "GantryID": ("00181008", "LO"), "DeviceSerialNumber": ("00181000", "LO"),
+    "DeviceUID": ("00181002", "UI"), "ProtocolName": ("00181030", "LO"), "AcquisitionComments": ("00184000", "LT"), "DetectorID": ("0018700A", "SH"),
+    "CalibrationDate": ("00181200", "DA"), "StudyInstanceUID": ("0020000D", "UI"), "SeriesInstanceUID": ("0020000E", "UI"),
+    "StudyID": ("00200010", "SH"), "FrameOfReferenceUID": ("00200052", "UI"), "SynchronizationFrameOfReferenceUID": ("00200200", "UI"),
+    "ConcatenationUID": ("00209161", "UI"), "DimensionOrganizationUID": ("00209164", "UI"), "ImageComments": ("00204000", "LT"),
+    "Rows": ("00280010", "US"), "Columns": ("00280011", "US"), "BitsAllocated": ("00280100", "US"), "BurnedInAnnotation": ("00280301", "CS"),
+    "PaletteColorLookupTableUID": ("00281199", "UI"), "ReasonForStudy": ("00321030", "LO"), "RequestingPhysician": ("00321032", "PN"),
+    "RequestedProcedureDescription": ("00321060", "LO"), "StudyComments": ("00324000", "LT"), "AdmissionID": ("00380010", "LO"),
+    "IssuerOfAdmissionIDSequence": ("00380014", "SQ"), "AdmittingDate": ("00380020", "DA"), "ServiceEpisodeDescription": ("00380062", "LO"),
+    "CurrentPatientLocation": ("00380300", "LO"), "PatientInstitutionResidence": ("00380400", "LO"), "PatientState": ("00380500", "LO"),
+    "VisitComments": ("00384000", "LT"), "ScheduledProcedureStepStartDate": ("00400002", "DA"),
+    "ScheduledPerformingPhysicianName": ("00400006", "PN"), "ScheduledProcedureStepDescription": ("00400007", "LO"),
+    "ScheduledProcedureStepID": ("00400009", "SH"), "PerformedProcedureStepStartDate": ("00400244", "DA"),
+    "PerformedProcedureStepID": ("00400253", "SH"), "PerformedProcedureStepDescription": ("00400254", "LO"),
+    "SpecimenAccessionNumber": ("0040050A", "LO"), "AcquisitionContextSequence": ("00400555", "SQ"), "RequestedProcedureID": ("00401001", "SH"),
+    "ReasonForVisit": ("00321066", "UT"), "RequestedProcedureComments": ("00401400", "LT"),
+    "PlacerOrderNumberImagingServiceRequest": ("00402016", "LO"), "FillerOrderNumberImagingServiceRequest": ("00402017", "LO"),
+    "VerificationDateTime": ("0040A030", "DT"), "VerifyingObserverSequence": ("0040A073", "SQ"), "VerifyingObserverName": ("0040A075", "PN"),
+    "AuthorObserverSequence": ("0040A078", "SQ"), "TextValue": ("0040A160", "UT"), "ContentSequence": ("0040A730", "SQ"),
+    "ContentDescription": ("00700081", "LO"), "ContentCreatorName": ("00700084", "PN"), "FiducialUID": ("0070031A", "UI"),
+    "ReferencedFrameOfReferenceUID": ("30060024", "UI"), "StorageMediaFileSetUID": ("00880140", "UI"), "ReviewerName": ("300E0008", "PN"),
+    "ModifiedAttributesSequence": ("04000550", "SQ"), "OriginalAttributesSequence": ("04000561", "SQ"), "PixelData": ("7FE00010", "OW"),
+}
 BASIC = {
-    "pseudonymize": "PatientName PatientID AccessionNumber StudyID",
-    "date_truncate": "PatientBirthDate",
-    "keep": "PatientSex PatientAge",
-    "empty": "OtherPatientNames PatientBirthName PatientMotherBirthName ResponsiblePerson ResponsibleOrganization ReferringPhysicianName PerformingPhysicianName NameOfPhysiciansReadingStudy PhysiciansOfRecord OperatorsName RequestingPhysician ScheduledPerformingPhysicianName ContentCreatorName VerifyingObserverName ReviewerName",
-    "remove": "OtherPatientIDsSequence PatientBirthTime PatientAddress PatientTelephoneNumbers PatientTelecomInformation PatientInsurancePlanCodeSequence MilitaryRank BranchOfService MedicalRecordLocator PatientReligiousPreference CountryOfResidence RegionOfResidence PatientComments EthnicGroup Occupation ReferringPhysicianAddress ReferringPhysicianTelephoneNumbers ReferringPhysicianIdentificationSequence PerformingPhysicianIdentificationSequence PhysiciansOfRecordIdentificationSequence OperatorIdentificationSequence AuthorObserverSequence InstitutionName InstitutionAddress InstitutionalDepartmentName InstitutionCodeSequence StationName DeviceSerialNumber PlateID DetectorID CassetteID GantryID PerformedProcedureStepID ScheduledProcedureStepID RequestedProcedureID FillerOrderNumberImagingServiceRequest PlacerOrderNumberImagingServiceRequest AdmissionID IssuerOfAdmissionIDSequence IssuerOfPatientID AdditionalPatientHistory PatientState VisitComments ServiceEpisodeDescription StudyComments RequestedProcedureComments AcquisitionComments PatientBirthDateInAlternativeCalendar PatientDeathDateInAlternativeCalendar ContentSequence ReferencedPatientSequence SourceImageSequence DerivationCodeSequence OriginalAttributesSequence ModifiedAttributesSequence AcquisitionContextSequence VerifyingObserverSequence SpecimenAccessionNumber CurrentPatientLocation PatientInstitutionResidence",
-    "clean_text": "StudyDescription SeriesDescription ImageComments AdmittingDiagnosesDescription RequestedProcedureDescription PerformedProcedureStepDescription ScheduledProcedureStepDescription ProtocolName DerivationDescription TextValue ContentDescription ReasonForStudy ReasonForVisit",
-    "date_shift": "StudyDate SeriesDate AcquisitionDate ContentDate AcquisitionDateTime InstanceCreationDate PerformedProcedureStepStartDate ScheduledProcedureStepStartDate AdmittingDate",
-}
+    "pseudonymize": (
+        "PatientName", "PatientID", "AccessionNumber", "StudyID",
+    ),
+    "date_truncate": (
+        "PatientBirthDate",
+    ),
+    "keep": (
+        "PatientSex", "PatientAge",
+    ),
+    "empty": (
+        "OtherPatientNames", "PatientBirthName", "PatientMotherBirthName", "ResponsiblePerson", "ResponsibleOrganization", "ReferringPhysicianName",
+        "PerformingPhysicianName", "NameOfPhysiciansReadingStudy", "PhysiciansOfRecord", "OperatorsName", "RequestingPhysician",
+        "ScheduledPerformingPhysicianName", "ContentCreatorName", "VerifyingObserverName", "ReviewerName",
+    ),
+    "remove": (
+        "OtherPatientIDsSequence", "PatientBirthTime", "PatientAddress", "PatientTelephoneNumbers", "PatientTelecomInformation",
+        "PatientInsurancePlanCodeSequence", "MilitaryRank", "BranchOfService", "MedicalRecordLocator", "PatientReligiousPreference",
+        "CountryOfResidence", "RegionOfResidence", "PatientComments", "EthnicGroup", "Occupation", "ReferringPhysicianAddress",
+        "ReferringPhysicianTelephoneNumbers", "ReferringPhysicianIdentificationSequence", "PerformingPhysicianIdentificationSequence",
+        "PhysiciansOfRecordIdentificationSequence", "OperatorIdentificationSequence", "AuthorObserverSequence", "InstitutionName",
+        "InstitutionAddress", "InstitutionalDepartmentName", "InstitutionCodeSequence", "StationName", "DeviceSerialNumber", "PlateID", "DetectorID",
+        "CassetteID", "GantryID", "PerformedProcedureStepID", "ScheduledProcedureStepID", "RequestedProcedureID",
+        "FillerOrderNumberImagingServiceRequest", "PlacerOrderNumberImagingServiceRequest", "AdmissionID", "IssuerOfAdmissionIDSequence",
+        "IssuerOfPatientID", "AdditionalPatientHistory", "PatientState", "VisitComments", "ServiceEpisodeDescription", "StudyComments",
+        "RequestedProcedureComments", "AcquisitionComments", "PatientBirthDateInAlternativeCalendar", "PatientDeathDateInAlternativeCalendar",
+        "ContentSequence", "ReferencedPatientSequence", "SourceImageSequence", "DerivationCodeSequence", "OriginalAttributesSequence",
+        "ModifiedAttributesSequence", "AcquisitionContextSequence", "VerifyingObserverSequence", "SpecimenAccessionNumber", "CurrentPatientLocation",
+        "PatientInstitutionResidence",
+    ),
+    "clean_text": (
+        "StudyDescription", "SeriesDescription", "ImageComments", "AdmittingDiagnosesDescription", "RequestedProcedureDescription",
+        "PerformedProcedureStepDescription", "ScheduledProcedureStepDescription", "ProtocolName", "DerivationDescription", "TextValue",
+        "ContentDescription", "ReasonForStudy", "ReasonForVisit",
+    ),
+    "date_shift": (
+        "StudyDate", "SeriesDate", "AcquisitionDate", "ContentDate", "AcquisitionDateTime", "InstanceCreationDate",
+        "PerformedProcedureStepStartDate", "ScheduledProcedureStepStartDate", "AdmittingDate",
+    ),
+}
 PSEUDONYMS = {"PatientName": ("", "patient", "person_name"), "PatientID": ("PID-", "patient", None), "AccessionNumber": ("ACC-", "accession", None), "StudyID": ("ST-", "study", None)}
 SHIFT_DOMAIN, SHIFT_DAYS = "patient", 3650
-IDENTITY_UIDS = "StudyInstanceUID SeriesInstanceUID SOPInstanceUID FrameOfReferenceUID SynchronizationFrameOfReferenceUID ConcatenationUID DimensionOrganizationUID PaletteColorLookupTableUID ReferencedSOPInstanceUID ReferencedFrameOfReferenceUID IrradiationEventUID StorageMediaFileSetUID FiducialUID InstanceCreatorUID DeviceUID"
+IDENTITY_UIDS = (
+    "StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "FrameOfReferenceUID", "SynchronizationFrameOfReferenceUID", "ConcatenationUID",
+    "DimensionOrganizationUID", "PaletteColorLookupTableUID", "ReferencedSOPInstanceUID", "ReferencedFrameOfReferenceUID", "IrradiationEventUID",
+    "StorageMediaFileSetUID", "FiducialUID", "InstanceCreatorUID", "DeviceUID",
+)
 RISKY_MODALITIES = ("US", "SC", "OT", "XC", "ES", "GM", "IVUS")
 
-
-def _parse() -> dict[str, tuple[str, str]]:
-    out = {}
-    for entry in ATTRIBUTES.replace("\n", ";").split(";"):
-        if entry.strip():
-            keyword, group, element, vr = entry.split()
-            out[keyword] = (group + element, vr)
-    return out
-
-
-TAGS = _parse()
+TAGS = ATTRIBUTES
 KEYWORDS = {tag: keyword for keyword, (tag, _) in TAGS.items()}
-UIDS = frozenset(TAGS[k][0] for k in IDENTITY_UIDS.split())
+UIDS = frozenset(TAGS[k][0] for k in IDENTITY_UIDS)
 
 
 def parse_tag(text: str) -> str:
@@ -88,7 +126,7 @@ def basic_rules() -> dict[str, dict]:
     """tag -> action of the basic profile, identity UIDs included."""
     out: dict[str, dict] = {}
     for action, keywords in BASIC.items():
-        for k in keywords.split():
+        for k in keywords:
             rule = {"action": action}
             if action == "pseudonymize":
                 rule["prefix"], rule["domain"], rule["mock"] = PSEUDONYMS[k]

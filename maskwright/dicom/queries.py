@@ -64,6 +64,60 @@ def dicom_uid_remap(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(old.alias("study")).agg(F.countDistinct(new).alias("new_ids"), F.min(new.startswith("2.25.") & (F.length(new) <= 64)).alias("sound"), F.count(F.lit(1)).alias("images"))
 
 
+#: More actions, each on an attribute of its own, and structural rules for what isn't listed.
+ACTIONS_POLICY = {
+    "version": 1,
+    "dataset": "driver-images",
+    "profile": "none",
+    "structural": {},
+    "tags": [
+        {"tag": "StudyDescription", "action": "clean_text"}, {"tag": "ImageComments", "action": "clean_text"}, {"tag": "PatientComments", "action": "replace", "value": "none"}, {"tag": "OtherPatientIDs", "action": "pseudonymize", "domain": "patient", "prefix": "o-"},
+        {"tag": "StudyDate", "action": "date_shift", "domain": "patient", "max_days": 100}, {"tag": "SeriesDate", "action": "date_truncate", "granularity": "year"}, {"tag": "PatientSex", "action": "keep"}, {"tag": "PatientAge", "action": "empty"},
+    ],
+    "patterns": [{"name": "mail", "builtin": "email", "action": "redact", "validate": "none"}],
+}
+
+
+def action_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """An image for each customer with several values in an attribute, texts with an address, dates, and tags that no rule
+    names: a private one, a curve, a person's name and an identifier."""
+    k = F.col("c_custkey").cast("string")
+    day = F.concat(F.lit("202401"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"))
+
+    def row(tag: str, vr: str, *values):
+        text = [v.cast("string") for v in values]
+        return F.struct(F.array().cast("array<struct<tag:string,item:int>>").alias("seq_path"), F.lit(profile.TAGS[tag][0] if tag in profile.TAGS else tag).alias("tag"), F.lit(vr).alias("vr"), F.array(*text).alias("values"), F.lit(None).cast("binary").alias("raw"))
+
+    rows = (
+        row("StudyDescription", "LO", F.concat(F.lit("ask u"), k, F.lit("@b.co first"))), row("ImageComments", "LT", F.concat(F.lit("a\\b u"), k, F.lit("@b.co"))), row("PatientComments", "LT", k),
+        row("OtherPatientIDs", "LO", k, F.concat(F.lit(" "), k, F.lit(" ")), F.lit("x")), row("StudyDate", "DA", day, day), row("SeriesDate", "DA", day), row("PatientSex", "CS", F.lit("O")), row("PatientAge", "AS", F.lit("030Y")),
+        row("00091001", "LO", k), row("50001001", "LO", k), row("00080094", "SH", k), row("00101005", "PN", F.col("c_name")), row("StudyInstanceUID", "UI", k),
+    )
+    return spark.read.parquet(f"{sf}/customer.parquet").select(k.alias("instance"), F.explode(F.array(*rows)).alias("a")).select("instance", "a.*")
+
+
+def dicom_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """What is written of each attribute: clean text, several values, replacements, dates, and structural rules."""
+    made = actions.deidentify(action_attributes(spark, sf), parse_dicom_policy(ACTIONS_POLICY), KEY)
+    return actions.kept(made).select("instance", "tag", F.array_join("values", "|").alias("values"))
+
+
+def _dicom_actions_sql() -> str:
+    inner, outer = pads(KEY)
+    hexed = lambda label, domain, v: f"sha256(from_hex('{outer.hex()}') || from_hex(sha256(from_hex('{(inner + prefix(label, domain)).hex()}') || encode({v}))))"
+    days = actions.shift_days(KEY, "patient", 100)
+    token = lambda v: f"'o-' || substr({hexed('token', 'patient', v)}, 1, 32)"
+    wide = lambda at: f"('0x' || substr(h, {at}, 16))::UBIGINT::UHUGEINT"
+    uid = f"(SELECT '2.25.' || cast({wide(1)} * 18446744073709551616::UHUGEINT + {wide(17)} AS VARCHAR) FROM (SELECT {hexed('dicom-uid', 'uid', 'k')} AS h))"
+    shifted = f"strftime(DATE '2024-01-01' + INTERVAL 1 DAY * (c_custkey % 28 + {days}), '%Y%m%d')"
+    rows = {
+        "StudyDescription": "'ask [MAIL] first'", "ImageComments": "'a\\b [MAIL]'", "PatientComments": "'none'", "OtherPatientIDs": f"{token('k')} || '|' || {token('k')} || '|' || {token(chr(39) + 'x' + chr(39))}",
+        "StudyDate": f"{shifted} || '|' || {shifted}", "SeriesDate": "'20240101'", "PatientSex": "'O'", "PatientAge": "''", "ReferringPhysicianTelephoneNumbers": "k", "PatientBirthName": "''", "StudyInstanceUID": uid,
+    }
+    each = " UNION ALL ".join(f"SELECT k AS instance, '{profile.TAGS[n][0]}' AS tag, {v} AS values FROM c" for n, v in rows.items())
+    return f"WITH c AS (SELECT c_custkey, cast(c_custkey AS VARCHAR) AS k FROM customer) {each}"
+
+
 def dicom_highest_risk(spark: SparkSession, sf: str) -> DataFrame:
     return actions.highest_risk(actions.pixel_risk(attributes(spark, sf)))
 
@@ -75,7 +129,7 @@ def dicom_date_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (dicom_pixel_risk, dicom_highest_risk, dicom_findings, dicom_by_action, dicom_pseudonyms, dicom_uid_remap, dicom_date_shift)}
+    return {f.__name__: f for f in (dicom_pixel_risk, dicom_highest_risk, dicom_findings, dicom_by_action, dicom_pseudonyms, dicom_uid_remap, dicom_date_shift, dicom_actions)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -91,6 +145,7 @@ def oracle_sql() -> dict[str, str]:
     token = f"substr(sha256(from_hex('{outer.hex()}') || from_hex(sha256(from_hex('{(inner + prefix('token', 'patient')).hex()}') || encode(cast(c_custkey AS VARCHAR))))), 1, 32)"
     days = actions.shift_days(KEY, profile.SHIFT_DOMAIN, profile.SHIFT_DAYS)
     return {
+        "dicom_actions": _dicom_actions_sql(),
         "dicom_pixel_risk": risk,
         "dicom_highest_risk": f"SELECT level FROM ({risk}) ORDER BY list_position(['low', 'unknown', 'elevated', 'high'], level) DESC LIMIT 1",
         "dicom_findings": found,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -55,6 +58,32 @@ def staged(spark: SparkSession, target: str, job: str):
         fs.delete(part, True)
 
 
+def folder(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.mkdirs(p)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, which driver and executors share; where Spark runs in this process and the
+    setting is absent, in a temporary folder of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="maskwright-")
+    path = f"{base.rstrip('/')}/maskwright-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+    atexit.register(_drop, spark, path)
+    return f"{path}/{name}"
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        p, fs = _path(spark, path)
+        fs.delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone when Python ends; the folder is only scratch space
+        return
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file written by the driver, staged like a table."""
     with staged(spark, path, path) as part:

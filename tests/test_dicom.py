@@ -60,7 +60,7 @@ def test_run(spark, tmp_path):
         (tmp_path / "in" / "s" / f"{n}.dcm").write_bytes(files.build(rows(n)))
     (tmp_path / "in" / "bad.dcm").write_bytes(b"no")
     report = job.run(spark, POLICY, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "vault"))
-    assert report["instances"] == 2 and len(report["skipped"]) == 1 and report["highest_pixel_risk"] == "low"
+    assert report["instances"] == 2 and [r["files"] for r in report["skipped"]] == [1] and report["pixel_risk"][0]["instances"] == 2 and report["highest_pixel_risk"] == "low"
     both = [(tmp_path / "out" / "s" / f"{n}.dcm").read_bytes() for n in range(2)]
     for word in PLANTED:
         assert not any(word.encode() in b for b in both), word

@@ -165,7 +165,7 @@ def test_detector_matches_its_example(spark, name):
 
 
 def test_mocks(spark):
-    df, keyed = Keyed.on(spark.createDataFrame([("DE89 3704 0044 0532 0130 00", "4532-1234-5678-9014", "+49 (89) 1234-567", "001A.2b3C.4d5E", "a@b.co")], "iban string, credit_card string, phone string, mac_address string, email string"), b"k" * 32)
+    df, keyed = Keyed.on(spark.createDataFrame([("DE89 3704 0044 0532 0130 00", "4539-5787-6362-1486", "+49 (89) 1234-567", "001A.2b3C.4d5E", "a@b.co")], "iban string, credit_card string, phone string, mac_address string, email string"), b"k" * 32)
     row = df.select(*[mocks.mock(s, keyed.hex("mock", s, F.col(s)), F.col(s)).alias(s) for s in mocks.SHAPES]).first()
     checks = {"iban": "iban_mod97", "credit_card": "luhn", "phone": "phone_e164", "mac_address": "mac_address", "email": "email_syntax"}
     ok = spark.createDataFrame([tuple(row)], list(mocks.SHAPES)).select(*[validators.accepts(v, F.col(s)) for s, v in checks.items()]).first()
