@@ -99,7 +99,9 @@ def domain_posteriors(docs: DataFrame, model: Softmax, text: str = "text", names
             at = 0
             for x in features(batch.column(text), STEMS):
                 part = batch.slice(at, len(x))
-                added = [pa.array(x.words, pa.int64()), pa.array(list(own.posteriors(x)), pa.list_(pa.float64()))]
+                p = own.posteriors(x)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+                added = [pa.array(x.words, pa.int64()), lists]
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*batch.schema.names, n, posterior])
                 at += len(x)
 
@@ -158,17 +160,18 @@ def _copies(rate, key):
     return F.floor(rate + drawn).cast("int")
 
 
-def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_labelled: int, doc_id: str, text: str) -> tuple[DataFrame, dict[str, str]]:
-    """docs with four columns added, and their names: words, posterior, rate, copies."""
+def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_labelled: int, doc_id: str, text: str, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``keep`` of docs with four more, and their names: words, posterior, rate, copies."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     model = fit_domains(plain, labels, max_labelled)
-    names = {x: free_name(docs, f"mixing_{x}") for x in ("words", "posterior", "rate", "copies")}
-    known = cut(domain_posteriors(docs, model, text, (names["words"], names["posterior"])), "posteriors", batch_rows=1000)
+    names = {x: free_name(docs, f"mixing_{x}") for x in ("key", "words", "posterior", "rate", "copies")}
+    known = domain_posteriors(docs.withColumn(names["key"], row_key(doc_id, text)), model, text, (names["words"], names["posterior"]))
+    known = cut(known.select(*keep, names["key"], names["words"], names["posterior"]), "posteriors", batch_rows=1000)
     sums = known.select(F.col(names["words"]).alias("n_words"), F.col(names["posterior"]).alias("posterior"))
     g = fit_rates(sums, [targets[d] for d in DOMAINS])
     pull = sum((F.col(names["posterior"])[i] * F.lit(float(x)) for i, x in enumerate(g)), F.lit(0.0))
     rated = known.withColumn(names["rate"], F.greatest(F.lit(0.0), 1 - pull))
-    return rated.withColumn(names["copies"], _copies(F.col(names["rate"]), row_key(doc_id, text))), names
+    return rated.withColumn(names["copies"], _copies(F.col(names["rate"]), F.col(names["key"]))), names
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_labelled: int = MAX_LABELLED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,7 +183,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     nearly as possible.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    rated, by = _rated(rows, labels, targets, max_labelled, "doc_id", "text")
+    rated, by = _rated(rows, labels, targets, max_labelled, "doc_id", "text", ["doc_id"])
     shares = [F.col(by["posterior"])[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return rated.select("doc_id", F.col(by["words"]).alias("n_words"), *shares, F.col(by["rate"]).alias("rate"), F.col(by["copies"]).alias("copies"))
 
@@ -188,5 +191,5 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_labelled: int = MAX_LABELLED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, each as often as its rate says (see mixing_rates). Texts are read by
     Python once: rows are written with their posteriors, from which the rates and copies follow natively."""
-    rated, by = _rated(docs, labels, targets, max_labelled, doc_id, text)
+    rated, by = _rated(docs, labels, targets, max_labelled, doc_id, text, docs.columns)
     return rated.filter(F.col(by["copies"]) > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(by["copies"]))).alias(by["words"])).select(docs.columns)
