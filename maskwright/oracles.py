@@ -35,6 +35,11 @@ def _luhn(d: str) -> str:
     return f"(list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 1 THEN (CASE WHEN {doubled} > 9 THEN {doubled} - 9 ELSE {doubled} END) ELSE substr({d}, i, 1)::INT END)) % 10 = 0)"
 
 
+def luhn(m: str) -> str:
+    d = _digits(m)
+    return f"(length({d}) >= 2 AND {_luhn(d)})"
+
+
 def credit_card(m: str) -> str:
     d = _digits(m)
     return f"(regexp_full_match({d}, '[2-6][0-9]{{12,18}}') AND len(list_distinct(string_split({d}, ''))) > 1 AND {_luhn(d)})"
