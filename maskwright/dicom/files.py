@@ -1,4 +1,8 @@
-"""Files of medical images: explicit VR little endian in and out, as attribute tables.
+"""Files of medical images as attribute tables: little endian in, with explicit or implicit representations and deflated or
+not; explicit little endian out. Big-endian files are skipped.
+
+An implicit file doesn't say what its attributes are. Those that ``profile.TAGS`` names have the representation given there;
+others are kept as bytes in the technical groups (TECHNICAL), and dropped elsewhere, as no rule could tell a name among them.
 
 ``read`` parses on the executors from Spark's binary source; a file that can't be read is reported, not fatal.
 ``write`` puts files into any file system that pyarrow knows by the scheme of the target (hdfs, s3, gs, or a folder that
@@ -10,12 +14,14 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.dicom import profile
 from maskwright.dicom.actions import BINARY, SCHEMA, SINGLE
 
 # Fixed values of the encoding.
@@ -24,13 +30,16 @@ EXPLICIT_LITTLE = "1.2.840.10008.1.2.1"
 ITEM, ITEM_END, SEQUENCE_END, UNDEFINED = 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD, 0xFFFFFFFF
 META_LENGTH, META_SOP, SOP, SYNTAX = "00020000", "00020003", "00080018", "00020010"
 NUL_PADDED = ("UI", "OB", "UN")
+IMPLICIT_LITTLE, DEFLATED, BIG = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.2"
+TECHNICAL = ("0018", "0020", "0028", "7FE0")
+_VR = dict(profile.TAGS.values())
 
 
 class Unreadable(ValueError):
     """Bytes that aren't such a file."""
 
 
-def _header(data: bytes, at: int) -> tuple[str, str, int, int]:
+def _header(data: bytes, at: int, implicit: bool = False) -> tuple[str, str, int, int]:
     """(tag, vr, length, offset of the value)."""
     if at + 8 > len(data):
         raise Unreadable("an element is cut off")
@@ -38,6 +47,8 @@ def _header(data: bytes, at: int) -> tuple[str, str, int, int]:
     tag = f"{group:04X}{element:04X}"
     if group == 0xFFFE:
         return tag, "", struct.unpack_from("<I", data, at + 4)[0], at + 8
+    if implicit:
+        return tag, _VR.get(tag, "UN"), struct.unpack_from("<I", data, at + 4)[0], at + 8
     vr = data[at + 4 : at + 6].decode("latin-1")
     if not vr.isalpha() or not vr.isupper():
         raise Unreadable(f"no representation at {tag}: not explicit little endian")
@@ -51,14 +62,15 @@ def _values(vr: str, raw: bytes) -> list[str]:
     return [] if not raw else [text] if vr in SINGLE else [v.strip(" \0") for v in text.split("\\")]
 
 
-def _elements(data: bytes, at: int, end: int, path: list) -> Iterator[tuple]:
+def _elements(data: bytes, at: int, end: int, path: list, implicit: bool = False) -> Iterator[tuple]:
     while at < end:
-        tag, vr, length, at = _header(data, at)
+        tag, vr, length, at = _header(data, at, implicit)
         if tag in ("FFFEE00D", "FFFEE0DD"):
             return
         if vr == "SQ" or vr == "UN" and length == UNDEFINED:
             yield path, tag, "SQ", [], None
-            at = yield from _items(data, at, length, [*path], tag)
+            # what has no representation is written implicitly within, too
+            at = yield from _items(data, at, length, [*path], tag, implicit or vr == "UN")
             continue
         if length == UNDEFINED:  # encapsulated pixels: kept as they are, with their delimiter
             stop = data.find(struct.pack("<HHI", 0xFFFE, 0xE0DD, 0), at)
@@ -70,11 +82,14 @@ def _elements(data: bytes, at: int, end: int, path: list) -> Iterator[tuple]:
         if at + length > len(data):
             raise Unreadable(f"{tag} is cut off")
         raw = data[at : at + length]
+        if implicit and tag not in _VR and not tag.startswith(TECHNICAL):
+            at += length
+            continue
         yield (path, tag, vr, [], raw) if vr in BINARY else (path, tag, vr, _values(vr, raw), None)
         at += length
 
 
-def _items(data: bytes, at: int, length: int, path: list, tag: str):
+def _items(data: bytes, at: int, length: int, path: list, tag: str, implicit: bool = False):
     end, number = len(data) if length == UNDEFINED else at + length, 0
     while at < end:
         kind, _, size, at = _header(data, at)
@@ -85,46 +100,58 @@ def _items(data: bytes, at: int, length: int, path: list, tag: str):
         own = [*path, {"tag": tag, "item": number}]
         number += 1
         if size == UNDEFINED:
-            stop = _end_of_item(data, at)
-            yield from _elements(data, at, stop, own)
+            stop = _end_of_item(data, at, implicit)
+            yield from _elements(data, at, stop, own, implicit)
             at = stop + 8
         else:
-            yield from _elements(data, at, at + size, own)
+            yield from _elements(data, at, at + size, own, implicit)
             at += size
     return at
 
 
-def _end_of_item(data: bytes, at: int) -> int:
+def _end_of_item(data: bytes, at: int, implicit: bool = False) -> int:
     """Offset of the delimiter that ends an item of undefined length."""
     while at < len(data):
-        tag, vr, length, value = _header(data, at)
+        tag, vr, length, value = _header(data, at, implicit)
         if tag == "FFFEE00D":
             return at
         if length == UNDEFINED:
-            at = _end_of_sequence(data, value)
+            at = _end_of_sequence(data, value, implicit or vr == "UN")
         else:
             at = value + length
     raise Unreadable("an item has no end")
 
 
-def _end_of_sequence(data: bytes, at: int) -> int:
+def _end_of_sequence(data: bytes, at: int, implicit: bool = False) -> int:
     while at < len(data):
         tag, _, length, value = _header(data, at)
         if tag == "FFFEE0DD":
             return value
-        at = _end_of_item(data, value) + 8 if length == UNDEFINED else value + length
+        at = _end_of_item(data, value, implicit) + 8 if length == UNDEFINED else value + length
     raise Unreadable("a sequence has no end")
 
 
 def parse(data: bytes) -> list[tuple]:
-    """(path, tag, vr, values, raw) of each attribute, file meta group included."""
+    """(path, tag, vr, values, raw) of each attribute, file meta group included, which names the encoding that is written."""
     if data[128:132] != b"DICM":
         raise Unreadable("no DICM mark")
-    out = list(_elements(data, 132, len(data), []))
-    syntax = next((v for _, t, _, v, _ in out if t == SYNTAX), [])
-    if syntax and syntax[0] in ("1.2.840.10008.1.2", "1.2.840.10008.1.2.2"):
-        raise Unreadable("the transfer syntax isn't explicit little endian")
-    return out
+    at = 132
+    while data[at : at + 2] == b"\x02\x00":
+        _, _, length, at = _header(data, at)
+        at += length
+    meta = list(_elements(data, 132, min(at, len(data)), []))
+    syntax = next((v[0] for _, t, _, v, _ in meta if t == SYNTAX and v), EXPLICIT_LITTLE)
+    if syntax == BIG:
+        raise Unreadable("the transfer syntax is big endian")
+    body = data[at:]
+    if syntax == DEFLATED:
+        try:
+            body = zlib.decompress(body, -15)
+        except zlib.error as e:
+            raise Unreadable("the deflated part can't be read") from e
+    if syntax in (DEFLATED, IMPLICIT_LITTLE):
+        meta = [(p, t, vr, [EXPLICIT_LITTLE] if t == SYNTAX else v, raw) for p, t, vr, v, raw in meta]
+    return [*meta, *_elements(body, 0, len(body), [], syntax == IMPLICIT_LITTLE)]
 
 
 def _encoded(tag: str, vr: str, body: bytes, undefined: bool = False) -> bytes:

@@ -36,6 +36,8 @@ ATTRIBUTES = {
     "CalibrationDate": ("00181200", "DA"), "StudyInstanceUID": ("0020000D", "UI"), "SeriesInstanceUID": ("0020000E", "UI"),
     "StudyID": ("00200010", "SH"), "FrameOfReferenceUID": ("00200052", "UI"), "SynchronizationFrameOfReferenceUID": ("00200200", "UI"),
     "ConcatenationUID": ("00209161", "UI"), "DimensionOrganizationUID": ("00209164", "UI"), "ImageComments": ("00204000", "LT"),
+    "SamplesPerPixel": ("00280002", "US"), "PhotometricInterpretation": ("00280004", "CS"), "PlanarConfiguration": ("00280006", "US"), "NumberOfFrames": ("00280008", "IS"),
+    "BitsStored": ("00280101", "US"), "HighBit": ("00280102", "US"), "PixelRepresentation": ("00280103", "US"),
     "Rows": ("00280010", "US"), "Columns": ("00280011", "US"), "BitsAllocated": ("00280100", "US"), "BurnedInAnnotation": ("00280301", "CS"),
     "PaletteColorLookupTableUID": ("00281199", "UI"), "ReasonForStudy": ("00321030", "LO"), "RequestingPhysician": ("00321032", "PN"),
     "RequestedProcedureDescription": ("00321060", "LO"), "StudyComments": ("00324000", "LT"), "AdmissionID": ("00380010", "LO"),

@@ -54,6 +54,41 @@ def test_undefined_lengths():
     assert [(len(p), t, x) for p, t, _, x, _ in got] == [(0, T["VerifyingObserverSequence"], []), (1, T["VerifyingObserverName"], ["A^B"]), (0, T["ContentDescription"], ["after"])]
 
 
+def _implicit(given, depth=0, prefix=()):
+    """The rows of one level as implicit little endian, items of undefined length."""
+    out = b""
+    for r in sorted((r for r in given if len(r["path"]) == depth and r["path"] == prefix), key=lambda r: r["tag"]):
+        body = r["raw"] if r["raw"] is not None else "\\".join(r["values"]).encode()
+        if r["vr"] == "SQ":
+            inner = _implicit(given, depth + 1, (*prefix, (r["tag"], 0)))
+            body = struct.pack("<HHI", 0xFFFE, 0xE000, files.UNDEFINED) + inner + struct.pack("<HHI", 0xFFFE, 0xE00D, 0) + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+        body += b" " * (len(body) % 2)
+        out += struct.pack("<HHI", int(r["tag"][:4], 16), int(r["tag"][4:], 16), files.UNDEFINED if r["vr"] == "SQ" else len(body)) + body
+    return out
+
+
+def test_other_encodings():
+    import zlib
+
+    given = [r for r in rows() if not r["tag"].startswith("0002")]
+    meta = lambda syntax: b"\0" * 128 + b"DICM" + files._encoded("00020010", "UI", syntax.encode())
+    unknown = {"path": (), "tag": "00101021", "vr": "LO", "values": ["Hidden^Name"], "raw": None}
+    windows = {"path": (), "tag": "00281050", "vr": "DS", "values": ["40"], "raw": None}
+    got = files.parse(meta(files.IMPLICIT_LITTLE) + _implicit([*given, unknown, windows]))
+    cells = {(tuple(s["tag"] for s in p), t): (vr, v, raw) for p, t, vr, v, raw in got}
+    assert cells[(), T["PatientName"]] == ("PN", ["Meier^Anna"], None) and cells[(T["VerifyingObserverSequence"],), T["VerifyingObserverName"]][1] == ["Lost^Observer"]
+    assert cells[(), "00281050"] == ("UN", [], b"40") and ((), "00101021") not in cells and ((), "00091001") not in cells and cells[(), "00020010"][1] == [files.EXPLICIT_LITTLE]
+    assert cells[(), T["PixelData"]][2] == b"\1\2\3\4" and files.parse(files.build([{"path": tuple((s["tag"], s["item"]) for s in p), "tag": t, "vr": v, "values": x, "raw": r} for p, t, v, x, r in got]))
+    plain = files.build([r for r in rows() if not r["tag"].startswith("0002")])
+    at = plain.index(struct.pack("<HH", 0x0008, 0x0018))
+    squeezed = zlib.compressobj(wbits=-15)
+    deflated = meta(files.DEFLATED) + squeezed.compress(plain[at:]) + squeezed.flush()
+    assert files.parse(deflated)[1:] == [r for r in files.parse(plain) if not r[1].startswith("0002")]
+    for bad in (meta(files.BIG) + b"\0" * 20, meta(files.DEFLATED) + b"\xff" * 20):
+        with pytest.raises(files.Unreadable):
+            files.parse(bad)
+
+
 def test_run(spark, tmp_path):
     (tmp_path / "in" / "s").mkdir(parents=True)
     for n in range(2):
