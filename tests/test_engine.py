@@ -306,6 +306,27 @@ def test_chain_links_tables(spark, tmp_path):
             runner.parse_chain({"jobs": bad})
 
 
+def test_bucket_plans(spark, capsys):
+    """A text is parsed once, and a number never becomes text."""
+    policy = parse_policy({"version": 1, "dataset": "d", "on_unlisted": "remove", "fields": [{"name": n, "class": "quasi_identifier", "anonymize": {"strategy": "bucket", "width": 10}} for n in ("t", "i", "d")]})
+    df = spark.range(4).selectExpr("cast(id AS string) || '.5' AS t", "id AS i", "id + 0.5D AS d")
+    made = job.build(df, policy, "anonymize").output
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") + plan.count("RLIKE") <= 4
+    assert [tuple(r) for r in made.collect()] == [("0-9",) * 3] * 4
+    odd = spark.createDataFrame([("1e30", 2**63 - 1, float("nan")), ("", None, None), ("-0.5", -(2**63) + 8, -0.5), ("x", -1, 1e19)], "t string, i long, d double")
+    assert [tuple(r) for r in job.build(odd, policy, "anonymize").output.collect()] == [("*", "*", "*"), ("", None, None), ("-10--1", "-9223372036854775800--9223372036854775791", "-10--1"), ("*", "-10--1", "*")]
+
+
+def test_gates(spark):
+    """What a detector finds holds what its gate looks for: its example, and the examples of others around it."""
+    every = " ; ".join(d.example for d in detectors.CATALOGUE.values())
+    rows = spark.createDataFrame([(d.example,) for d in detectors.CATALOGUE.values()] + [(every,), (every.lower(),), (every.upper(),), ("٣٤٥-١٢-٣٤٥٦ ١٢/٠٣/١٩٩٠ +٤٩ ٨٩ ١٢٣٤٥ ١.٢.٣.٤",)], "t string")
+    for name, gate in detectors.GATES.items():
+        found = rows.select(F.size(cascade.matches_of(F.col("t"), detectors.PATTERNS[name])).alias("all"), F.size(cascade.matches_of(F.col("t"), detectors.PATTERNS[name], gate)).alias("gated")).collect()
+        assert all(r["all"] == r["gated"] for r in found) and sum(r["all"] for r in found), name
+
+
 def test_reverse_inside_texts(spark):
     key = dataset_key(SECRET, "d")
     p = parse_policy({"version": 1, "dataset": "d", "fields": [{"name": "t", "class": "utility"}], "patterns": [{"name": "m", "builtin": "email", "action": "token", "prefix": "em_"}, {"name": "ph", "builtin": "phone", "action": "mock"}]})
