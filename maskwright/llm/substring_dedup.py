@@ -426,8 +426,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     """A row for each passage of a document that an earlier one (by id) holds as well, equal or nearly so.
 
     ``doc_id, first_doc_id, start_word, end_word, first_start_word, first_end_word, similarity``: words are counted from
-    0, ends exclusive; of several earlier documents found, the most similar is named. Passages within one document are not reported. Null, empty and short texts have none; rows of a
-    null id are left out; rows that repeat an id count as one document, each with its own words; other columns are
+    0, ends exclusive. Of passages one within another the longest is reported; an equal one names the earliest document
+    that holds it, another one the most similar that was met. Passages within one document are not reported. Null, empty
+    and short texts have none; rows of a null id are left out; rows that repeat an id count as one document, each with its own words; other columns are
     not read; an empty table gives no rows.
     """
     least = least_words - SIZE + 1
@@ -460,16 +461,13 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     # all tasks, and to that of another round
     for _ in range(2):
         found = _handed_on(found)
-    # several heads may lead to several earlier documents: the most similar one, of these the first, stands for them
-    found = _joined_up(found)
-    rest = ("first_doc_id", "first_start_word", "first_end_word", "similarity")
-    best = found.groupBy("doc_id", "start_word", "end_word").agg(F.max_by(F.struct(*rest), F.struct("similarity", -F.col("first_doc_id"), -F.col("first_start_word"))).alias("b"))
-    return best.select("doc_id", "b.first_doc_id", "start_word", "end_word", "b.first_start_word", "b.first_end_word", "b.similarity")
+    return _joined_up(found)
 
 
 def _joined_up(found: DataFrame) -> DataFrame:
     """Parts of one passage that were verified by themselves, as their windows met apart: equal ones of the same two
-    documents that overlap at one shift become one, and what lies within another of the same documents goes."""
+    documents that overlap at one shift become one. Of passages of a document that lie one within another the longest stays,
+    of equal spans the most similar one, of these that of the first document."""
     exact = (F.col("similarity") == 1) & (F.col("end_word") - F.col("start_word") == F.col("first_end_word") - F.col("first_start_word"))
     # rows that aren't equal stay by themselves
     rows = found.distinct().withColumn("shift", F.when(exact, F.col("first_start_word") - F.col("start_word"))).withColumn("own", F.when(~exact, F.struct("start_word", "end_word", "first_start_word", "first_end_word")))
@@ -478,7 +476,7 @@ def _joined_up(found: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", F.sum(F.col("fresh").cast("int")).over(chain))
     ends = [F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_start_word").alias("first_start_word"), F.max("first_end_word").alias("first_end_word"), F.max("similarity").alias("similarity")]
     rows = rows.groupBy("doc_id", "first_doc_id", "shift", "own", "part").agg(*ends)
-    wide = Window.partitionBy("doc_id", "first_doc_id").orderBy("start_word", F.desc("end_word"), F.desc("similarity"), "first_start_word", "first_end_word").rowsBetween(Window.unboundedPreceding, -1)
+    wide = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), F.desc("similarity"), "first_doc_id", "first_start_word", "first_end_word").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("upto", F.max("end_word").over(wide)).filter("upto is null or upto < end_word").select(*found.columns)
 
 

@@ -1,11 +1,17 @@
 """The corpus pipeline, stage by stage, on the smallest tables; and the queries against their SQL."""
 
+import collections
+
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from maskwright.llm import decontaminate, mixing, near_dedup, packing, quality
 from maskwright.llm import queries as llm
+from maskwright.llm.tokenizers_io import Encoder
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,8 +48,53 @@ def test_stages(spark):
     mixture = names["mixing"](spark, docs, SF)
     assert mixture.columns == docs.columns
 
-    rows = names["pack"](spark, docs.limit(20), SF).collect()
-    assert rows and all(r["n_tokens"] <= 2048 for r in rows)
+    # packed rows give back the tokens of every document, in order
+    encode = Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode
+    parts = collections.defaultdict(list)
+    for r in names["pack"](spark, docs, SF).collect():
+        assert r["n_tokens"] <= 2048 and r["position_resets"] == r["cu_seqlens"][:-1]
+        matrix = np.frombuffer(r["ids"], "<u2")
+        for d, at, a, b in zip(r["doc_ids"], r["token_starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            parts[d].append((at, matrix[a:b].tolist()))
+    for d, t in texts.items():
+        assert [i for _, p in sorted(parts[d]) for i in p] == list(encode(t or ""))
+
+
+def odd_rows():
+    item = " ".join(f"word{i}" for i in range(30))
+    long = " ".join(f"w{i % 977}x{i // 977}" for i in range(30_000))
+    plain = "the quick brown fox jumps over the lazy dog and then it rests for a while"
+    return [
+        (1, plain), (1, plain), (2, plain), (None, plain), (None, plain), (3, None), (3, ""), (None, None), (4, f"before {item} after"), (None, f"other {item} words"),
+        (5, long), (6, long + " end"), (7, "two words"), (7, "another text of the same id that is longer than five words"), (8, " \t\n"),
+    ]
+
+
+def test_stages_on_odd_tables(spark):
+    """Null ids and texts, empty and very long ones, repeated rows and ids, clashing columns, empty tables."""
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in odd_rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    for clash in ("near_key", "leak_key", "mixing_key", "mixing_rate", "score", "id", "key", "n", "component_id", "kept", "row"):
+        table = table.withColumn(clash, F.lit("x"))
+    bench = spark.createDataFrame([(0, " ".join(f"word{i}" for i in range(30)))], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+    def kept(df):
+        assert df.columns == table.columns
+        return collections.Counter((r["doc_id"], (r["text"] or "")[:30]) for r in df.collect())
+
+    rows = collections.Counter((i, (t or "")[:30]) for i, t in odd_rows())
+    single = kept(near_dedup.one_of_each(table))
+    plain = odd_rows()[0][1][:30]
+    # one of all that share a text, though three rows have no id; ids with several texts leave one; rows without words all stay
+    assert single[1, plain] == 1 and not single[2, plain] and not single[None, plain] and sum(single[7, x[:30]] for x in ("two words", "another text of the same id th")) == 1
+    assert single[3, ""] == 2 and single[None, ""] == 1 and single[5, odd_rows()[10][1][:30]] == 1 and not single[6, odd_rows()[11][1][:30]]
+    clean = kept(decontaminate.without_leaks(table, bench))
+    assert clean == collections.Counter({k: n for k, n in rows.items() if "before word0" not in k[1] and "other word0" not in k[1]})
+    assert kept(quality.accepted(table, labels)) == rows
+    assert set(kept(mixing.mixed(table, labels))) <= set(rows)
+    for stage in (near_dedup.one_of_each, lambda d: decontaminate.without_leaks(d, bench), lambda d: decontaminate.without_leaks(d, bench.limit(0)), lambda d: quality.accepted(d, labels), lambda d: mixing.mixed(d, labels)):
+        assert not kept(stage(table.limit(0)))
+    assert packing.pack_tokens(table, public_tokenizers.path("byte_bpe_50k.json")).count() > 0 and packing.pack_tokens(table.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_run(spark):
