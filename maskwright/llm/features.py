@@ -1,7 +1,9 @@
 """Features of whole texts for the classifiers: hashed distinct words and statistics of structure.
 
 A document is a sparse vector. Words, without punctuation at their end, and stems if wanted, have the value
-1 / sqrt(how many differ); each statistic is one of LEVELS levels, one-hot. Only the text is read: no label, language, source or identifier.
+1 / sqrt(how many differ); each statistic is one of LEVELS levels, one-hot. Only the text is read: no label, language, source or
+identifier. The one piece of metadata that may count, the number of characters, is a level too, counted in the text itself, so
+that a missing or wrong column can't mislead.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ _CLASSES = {
     "other": _B >= 128,
     "line": _B == 10,
 }
-STATISTICS = (*_CLASSES, "words", "distinct", "again", "length")
+STATISTICS = (*_CLASSES, "words", "distinct", "again", "length", "characters")
 SIZE = (1 << WORD_BITS) + len(STATISTICS) * LEVELS
 
 
@@ -74,11 +76,14 @@ def _slice(w: textkit.Words) -> Sparse:
         same = (w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])
         again = np.bincount(doc[1:][same], minlength=n)
     some = np.maximum(count, 1)
+    begun = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+    characters = begun[w.offset[1:]] - begun[w.offset[:-1]]
     levels += [
         np.minimum((2 * np.log2(count + 1)).astype(np.int64), LEVELS - 1),
         _level(known / some),
         _level(again / some),
         np.minimum((2 * size / some).astype(np.int64), LEVELS - 1),
+        np.minimum((1.5 * np.log2(characters + 1)).astype(np.int64), LEVELS - 1),
     ]
     k = len(levels)
     bound = np.concatenate([[0], np.cumsum(distinct + k)])

@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words and statistics of structure.
+"""Quality classifier: a factorisation machine over hashed words, statistics of structure and the length as metadata.
 
     score = sigmoid(b + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i (v_if x_i)^2])
 
