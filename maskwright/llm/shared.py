@@ -97,6 +97,12 @@ def forget_paths(spark: SparkSession, paths: list[str]) -> None:
         _delete(spark, path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For entry points (the registered queries, the pipeline): Python gets batches of at most this many rows for the rest of
+    the session. Texts are large, and a batch is held several times, by the JVM as well. Operators leave the session alone."""
+    spark.conf.set(_BATCH, str(rows))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:
