@@ -16,10 +16,11 @@ from maskwright.llm.mixing import mixed
 from maskwright.llm.near_dedup import one_of_each
 from maskwright.llm.packing import pack_tokens
 from maskwright.llm.quality import accepted
-from maskwright.llm.shared import cut, forget_paths, scratch
+from maskwright.llm.shared import cut, forget_paths, scratch, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest id. Documents without words all stay."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
@@ -45,6 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed rows of token ids. Documents without tokens leave nothing."""
+    small_batches(spark)
     return pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
