@@ -263,7 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "suppressed_values": "SELECT 2 * count(*) AS warned, 2 * count(*) AS found, count(*) AS rows_read, count(*) AS rows_written FROM customer",
         "validator_choice": f"SELECT doc_id, {cards(oracles.accepts('credit_card', 'm'))} AS own, {cards(oracles.luhn('m'))} AS luhn, {cards('true')} AS \"none\" FROM documents",
         "vault_export": f"SELECT 'customer' AS domain, {token} AS token, cast(c_custkey AS VARCHAR) AS original FROM customer",
-        "key_of_dataset": "SELECT * FROM (SELECT count(*) AS n FROM customer), LATERAL (VALUES ('itself', n), ('again', n), ('domain', 0), ('dataset', 0)) v(\"case\", shared)",
+        "key_of_dataset": "SELECT \"case\", shared FROM (SELECT count(*) AS n FROM customer), LATERAL (VALUES ('itself', n), ('again', n), ('domain', 0), ('dataset', 0)) v(\"case\", shared)",
         "audit_lines": "SELECT * FROM (VALUES ('good', 'anonymize', 'ok', (SELECT count(*) FROM nation), 64, false), ('bad', 'anonymize', 'error', 0, 64, true)) v(job, mode, status, rows, hash_length, has_error)",
         "image_files": """
             SELECT 'n' || cast(n_nationkey AS VARCHAR) || '.dcm' AS file, unnest(['00100010', '00100020', '0040A073', '0040A075']) AS tag, unnest([0::BIGINT, 0, 0, 1]) AS depth,
