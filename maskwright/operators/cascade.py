@@ -7,6 +7,7 @@ native: two projections a rule (matches, then text), so a plan grows in proporti
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,15 +32,16 @@ class Scan:
     mappings: str | None
 
 
-def matches_of(text: Column, regex: str, gate: str | None = None) -> Column:
-    """All matches of an expression, left to right; none for a missing text or one without what ``gate`` finds."""
-    found = F.regexp_extract_all(text, F.lit(detectors.java(regex)), F.lit(0))
+def matches_of(text: Column, regex: str, gate: str | None = None, read: Callable[[str], str] = detectors.java) -> Column:
+    """All matches of an expression, left to right; none for a missing text or one without what ``gate`` finds. ``read``
+    says how classes are meant."""
+    found = F.regexp_extract_all(text, F.lit(read(regex)), F.lit(0))
     return F.coalesce(found if gate is None else F.when(text.rlike(gate), found), F.array().cast("array<string>"))
 
 
-def count_matches(text: Column, regex: str, validator: str = "none") -> Column:
+def count_matches(text: Column, regex: str, validator: str = "none", gate: str | None = None, read: Callable[[str], str] = detectors.java) -> Column:
     """Number of matches that the validator accepts; 0 for a missing text."""
-    found = matches_of(text, regex)
+    found = matches_of(text, regex, gate, read)
     return F.size(found if validator == "none" else F.filter(found, lambda m: validators.accepts(validator, m))).cast("bigint")
 
 

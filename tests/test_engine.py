@@ -164,6 +164,25 @@ def test_detector_matches_its_example(spark, name):
     assert row[0] == 1 and row[1] == d.example
 
 
+def test_counts_take_the_words_of_their_sql(spark, tmp_path):
+    """Counts equal their SQL where letters beyond ASCII stand beside a match, and jobs go on with Unicode's words."""
+    import duckdb
+
+    from maskwright import queries as registered
+
+    texts = ["der 2043 alte st\u00fcrmt", "2043 alte st", "Bank\u00fcbung Klinik\u00e4 Bank", "hiv\u00e9 hiv", "\u00dcX7654321 X7654321", "\u00fcABCD0123456 ABCD0123456", "j\u00fcrgen@b.co \u00e4.a@b.co", "\u00fc4539578763621486", "12\u00a0x st 1\u000bst", "\u0663\u0664 st", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in registered._ASCII_COUNTS:
+        query = f"detect_{name}_count"
+        got = sorted(tuple(r) for r in registered.queries()[query](spark, str(tmp_path)).collect())
+        assert got == sorted(duck.execute(registered.oracle_sql()[query]).fetchall()), name
+    address = detectors.PATTERNS["address"]
+    row = spark.createDataFrame([(texts[0],)], "t string").select(cascade.count_matches(F.col("t"), address), cascade.count_matches(F.col("t"), address, read=detectors.ascii_classes)).first()
+    assert tuple(row) == (0, 1)
+
+
 def test_mocks(spark):
     df, keyed = Keyed.on(spark.createDataFrame([("DE89 3704 0044 0532 0130 00", "4539-5787-6362-1486", "+49 (89) 1234-567", "001A.2b3C.4d5E", "a@b.co")], "iban string, credit_card string, phone string, mac_address string, email string"), b"k" * 32)
     row = df.select(*[mocks.mock(s, keyed.hex("mock", s, F.col(s)), F.col(s)).alias(s) for s in mocks.SHAPES]).first()
