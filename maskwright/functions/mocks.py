@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions.transforms import bound
 from maskwright.functions.validators import digits as only_digits
 from maskwright.functions.validators import mod97
 
@@ -21,16 +22,15 @@ def _byte(hexed: Column, i: Column) -> Column:
 
 
 def digit_array(hexed: Column, count: Column) -> Column:
-    """``count`` decimal digits from the 32 bytes; a further round through them adds 1."""
-    one = lambda i: ((_byte(hexed, i) + (i / 32).cast("int")) % 256) % 10
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<int>"))
+    """``count`` decimal digits from the 32 bytes; a further round through them adds 1. The hash is computed once."""
+    one = lambda h: lambda i: ((_byte(h, i) + (i / 32).cast("int")) % 256) % 10
+    made = bound(hexed, lambda h: F.transform(F.sequence(F.lit(0), count - 1), one(h)))
+    return F.when(count > 0, made).otherwise(F.array().cast("array<int>"))
 
 
 def _stitched(original: Column, fresh: Column) -> Column:
-    """The original with its digits replaced by those of the array, in turn."""
-    seen = lambda k: F.length(only_digits(F.substr(original, F.lit(1), k + 1)))
-    swap = lambda c, k: F.when(c.rlike("[0-9]"), F.get(fresh, seen(k) - 1).cast("string")).otherwise(c)
-    return F.array_join(F.transform(F.filter(F.split(original, ""), lambda c: c != ""), swap), "")
+    """The original with its digits replaced by those of the array, in turn: the pieces between digits, each with the next."""
+    return F.array_join(F.zip_with(F.split(original, "[0-9]", -1), fresh, lambda piece, d: F.concat(piece, F.coalesce(d.cast("string"), F.lit("")))), "")
 
 
 def phone(hexed: Column, original: Column) -> Column:
@@ -41,12 +41,12 @@ def phone(hexed: Column, original: Column) -> Column:
 
 def credit_card(hexed: Column, original: Column) -> Column:
     """Separators and length stay; begins with 999 and ends in a Luhn digit. A lone digit stays as it is."""
-    n = F.length(only_digits(original))
-    body = F.transform(digit_array(hexed, n - 1), lambda d, i: F.when(i < 3, 9).otherwise(d))
     doubled = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-    weighed = F.transform(F.reverse(body), lambda d, i: F.when(i % 2 == 0, doubled(d)).otherwise(d))
-    check = (10 - F.aggregate(weighed, F.lit(0), lambda a, d: a + d) % 10) % 10
-    return F.when(n < 2, original).otherwise(_stitched(original, F.concat(body, F.array(check))))
+    weighed = lambda body: F.transform(F.reverse(body), lambda d, i: F.when(i % 2 == 0, doubled(d)).otherwise(d))
+    check = lambda body: (10 - F.aggregate(weighed(body), F.lit(0), lambda a, d: a + d) % 10) % 10
+    body = lambda n: F.transform(digit_array(hexed, n - 1), lambda d, i: F.when(i < 3, 9).otherwise(d))
+    made = lambda n: bound(body(n), lambda b: _stitched(original, F.concat(b, F.array(check(b)))))
+    return bound(F.length(only_digits(original)), lambda n: F.when(n < 2, original).otherwise(made(n)))
 
 
 def iban(hexed: Column, original: Column) -> Column:
@@ -54,25 +54,25 @@ def iban(hexed: Column, original: Column) -> Column:
     compact = F.regexp_replace(original, "(?U)\\s", "")
     country = F.when(compact.rlike("^[A-Z]{2}"), F.substring(compact, 1, 2)).otherwise(FALLBACK_COUNTRY)
     body = F.array_join(digit_array(hexed, F.greatest(F.length(compact), F.lit(LEAST_IBAN)) - 4).cast("array<string>"), "")
-    check = 98 - mod97(F.concat(body, country, F.lit("00")))
-    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+    made = lambda c, b: F.concat(c, F.lpad((98 - mod97(F.concat(b, c, F.lit("00")))).cast("string"), 2, "0"), b)
+    return bound(country, lambda c: bound(body, lambda b: made(c, b)))
 
 
 def email(hexed: Column, original: Column) -> Column:
     """Ten letters in a domain reserved for examples."""
-    letters = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.char(97 + _byte(hexed, i) % 26))
+    letters = bound(hexed, lambda h: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.char(97 + _byte(h, i) % 26)))
     return F.concat(F.array_join(letters, ""), F.lit(MAIL_DOMAIN))
 
 
 def mac_address(hexed: Column, original: Column) -> Column:
     """A locally administered unicast address in the original's separators and letter case."""
-    first = _byte(hexed, F.lit(0)).bitwiseAND(0xFE).bitwiseOR(0x02)
-    raw = F.lower(F.concat(F.lpad(F.hex(first.cast("long")), 2, "0"), F.substring(hexed, 3, 10)))
-    cased = F.when(original.rlike("[a-z]"), raw).otherwise(F.upper(raw))
-    part = lambda at, n: F.substring(cased, at, n)
-    pairs = lambda s: F.concat_ws(s, *[part(i, 2) for i in range(1, 12, 2)])
-    dotted = F.concat_ws(".", part(1, 4), part(5, 4), part(9, 4))
-    return F.when(original.contains("."), dotted).when(original.contains("-"), pairs("-")).otherwise(pairs(":"))
+    first = lambda h: _byte(h, F.lit(0)).bitwiseAND(0xFE).bitwiseOR(0x02)
+    raw = bound(hexed, lambda h: F.lower(F.concat(F.lpad(F.hex(first(h).cast("long")), 2, "0"), F.substring(h, 3, 10))))
+    part = lambda c, at, n: F.substring(c, at, n)
+    pairs = lambda c, s: F.concat_ws(s, *[part(c, i, 2) for i in range(1, 12, 2)])
+    dotted = lambda c: F.concat_ws(".", part(c, 1, 4), part(c, 5, 4), part(c, 9, 4))
+    shaped = lambda c: F.when(original.contains("."), dotted(c)).when(original.contains("-"), pairs(c, "-")).otherwise(pairs(c, ":"))
+    return bound(bound(raw, lambda r: F.when(original.rlike("[a-z]"), r).otherwise(F.upper(r))), shaped)
 
 
 def mock(shape: str, hexed: Column, original: Column) -> Column:

@@ -13,6 +13,15 @@ from maskwright.errors import FormatError
 #: Fixed values.
 EXTENSIONS = {"csv": "csv", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet", "pq": "parquet"}
 SHOWN = 48
+#: Rows of one task, where rows are dealt out.
+ROWS_A_TASK = 32_768
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by key, ROWS_A_TASK or so a task: for rows that are much work or become many, since a Parquet
+    file of one row group is one task, whatever its length. Rows are counted by the files' footers."""
+    tasks = -(-df.count() // ROWS_A_TASK)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
 
 
 def infer_format(path: str) -> str:

@@ -191,6 +191,29 @@ def test_mocks(spark):
     assert all(ok) and row["credit_card"].startswith("999") and row["credit_card"][4] == "-" and row["mac_address"][4] == "." and row["iban"].startswith("DE") and len(row["iban"]) == 22
 
 
+def test_mock_plans(spark):
+    """A mock's plan holds the keyed hash once, bound outside of what is done for each digit."""
+    given = {"iban": "DE89 3704 0044 0532 0130 00", "credit_card": "4539-5787-6362-1486", "phone": "+49 (89) 1234-567", "mac_address": "00-1a-2b-3c-4d-5e", "email": "a@b.co"}
+    df, keyed = Keyed.on(spark.range(1), b"k" * 32)
+    for shape, value in given.items():
+        hexed = keyed.hex("mock", shape, F.concat(F.lit(value), F.col("id").cast("string")))
+        plan = df.select(mocks.mock(shape, hexed, F.lit(value)).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sha2(") == 2 and plan.count("transform(array(sha2(") == 1, shape
+    rows = spark.createDataFrame([("",), ("x",), ("7",), ("0 1",), (None,), ("ü1ä2€",)], "t string")
+    made = rows.select("t", mocks.phone(F.lit("ff" * 32), F.col("t")).alias("p"), mocks.credit_card(F.lit("ff" * 32), F.col("t")).alias("c")).collect()
+    assert [(r["p"], r["c"]) for r in made] == [("", ""), ("x", "x"), ("5", "7"), ("5 5", "9 1"), (None, None), ("ü5ä5€", "ü9ä1€")]
+
+
+def test_rows_are_dealt_out(spark, tmp_path, monkeypatch):
+    """One file of one row group becomes several tasks, and all its rows stay."""
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    table = spark.read.parquet(str(tmp_path / "t.parquet"))
+    assert formats.dealt(table, "id") is table
+    monkeypatch.setattr(formats, "ROWS_A_TASK", 30)
+    out = formats.dealt(table, "id")
+    assert out.rdd.getNumPartitions() == 4 and sorted(r[0] for r in out.collect()) == list(range(100)) and formats.dealt(table.limit(0), "id").count() == 0
+
+
 def test_collisions(spark):
     df = spark.createDataFrame([("f", "a", "1"), ("f", "b", "1"), ("f", "a", "1"), ("f", "c", "2"), ("g", "z", "1")], "field string, original string, token string")
     assert [tuple(r) for r in job.collisions(df).collect()] == [("f", 1)]
