@@ -173,11 +173,15 @@ def by_action(result: DataFrame) -> DataFrame:
 
 
 def pixel_risk(attributes: DataFrame) -> DataFrame:
-    """(instance, has_pixels, burned_in, modality, level): the risk of text burned into the image, without reading it."""
+    """(instance, has_pixels, burned_in, modality, level): the risk of text burned into the image, without reading it. The
+    rows that are sorted by instance hold a number and the value of one of two attributes, not what they come from."""
     tag = lambda k: F.col("tag") == profile.TAGS[k][0]
     top = F.size(F.coalesce("seq_path", F.array().cast("array<struct<tag:string,item:int>>"))) == 0
-    value = lambda k: F.max(F.when(tag(k) & top, F.trim(F.get("values", F.lit(0)))))
-    seen = attributes.groupBy("instance").agg(F.bool_or(tag("PixelData") & top).alias("has_pixels"), value("BurnedInAnnotation").alias("burned_in"), value("Modality").alias("modality"))
+    kind = F.when(top & tag("PixelData"), 0).when(top & tag("BurnedInAnnotation"), 1).when(top & tag("Modality"), 2).when(~top | F.col("tag").isNotNull(), 3)
+    text = F.when(top & F.coalesce(tag("BurnedInAnnotation") | tag("Modality"), F.lit(False)), F.trim(F.get("values", F.lit(0))))
+    told = attributes.select("instance", kind.alias("kind"), text.alias("text"))
+    value = lambda k: F.max(F.when(F.col("kind") == k, F.col("text")))
+    seen = told.groupBy("instance").agg(F.bool_or(F.col("kind") == 0).alias("has_pixels"), value(1).alias("burned_in"), value(2).alias("modality"))
     risky = F.coalesce(F.col("modality").isin(*profile.RISKY_MODALITIES), F.lit(False))
     level = (
         F.when(~F.col("has_pixels"), "low")
