@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskwright.dicom import actions, profile
 from maskwright.dicom.policy import parse_dicom_policy
 from maskwright.functions.keys import dataset_key, pads, prefix
+from maskwright.sources import formats
 
 KEY = dataset_key("a fixed secret for the driver's comparison, 0123456789", "driver-images")
 POLICY = {"version": 1, "dataset": "driver-images", "tags": [{"tag": "OtherPatientIDs", "action": "remove"}]}
@@ -22,6 +23,11 @@ def _row(keyword: str, value, path: tuple[str, int] | None = None):
     return F.struct(where.alias("seq_path"), F.lit(tag).alias("tag"), F.lit(vr).alias("vr"), F.array(value.cast("string")).alias("values"), F.lit(None).cast("binary").alias("raw"))
 
 
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in several tasks, since each becomes many attributes."""
+    return formats.dealt(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name", "c_nationkey"), "c_custkey")
+
+
 def attributes(spark: SparkSession, sf: str) -> DataFrame:
     """An image for each customer: identity, a nested observer, modality, burned-in flag and pixels that depend on the key."""
     k = F.col("c_custkey")
@@ -33,8 +39,7 @@ def attributes(spark: SparkSession, sf: str) -> DataFrame:
     flag = F.when(k % 4 == 0, F.array(_row("BurnedInAnnotation", F.lit("YES")))).when(k % 4 == 1, F.array(_row("BurnedInAnnotation", F.lit("NO"))))
     pixels = F.when(k % 5 != 0, F.array(_row("PixelData", F.lit(""))))
     none = F.slice(rows, 1, 0)
-    customer = spark.read.parquet(f"{sf}/customer.parquet")
-    return customer.select(k.cast("string").alias("instance"), F.explode(F.concat(rows, F.coalesce(flag, none), F.coalesce(pixels, none))).alias("a")).select("instance", "a.*")
+    return _customers(spark, sf).select(k.cast("string").alias("instance"), F.explode(F.concat(rows, F.coalesce(flag, none), F.coalesce(pixels, none))).alias("a")).select("instance", "a.*")
 
 
 def dicom_pixel_risk(spark: SparkSession, sf: str) -> DataFrame:

@@ -145,3 +145,25 @@ def test_tags_and_policies():
     for bad in ({"tags": [{"tag": "Nope", "action": "keep"}]}, {"tags": [{"tag": "PatientName", "action": "keep", "value": "x"}]}, {"profile": "x"}, {"tags": [{"tag": "PatientName", "action": "keep"}] * 2}):
         with pytest.raises(PolicyError):
             parse_dicom_policy({"version": 1, "dataset": "d"} | bad)
+
+
+def test_risk_sorts_narrow_rows(spark, tmp_path, monkeypatch):
+    """What is sorted by instance holds no attribute values but those that count, and a table of one row group is dealt out."""
+    from maskwright.dicom import queries as registered
+    from maskwright.sources import formats
+
+    table = spark.createDataFrame([], actions.SCHEMA)
+    plan = actions.pixel_risk(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "values" not in next(line for line in plan.splitlines() if "Aggregate" in line)
+    item = [(T["VerifyingObserverSequence"], 0)]
+    cells = [
+        ("a", item, T["PixelData"], "OW", [""]), ("a", [], T["Modality"], "CS", [" US ", "CT"]), ("b", None, T["PixelData"], "OW", None), ("b", [], T["BurnedInAnnotation"], "CS", ["YES"]),
+        ("b", item, T["Modality"], "CS", ["US"]), ("c", [], None, "LO", ["x"]), ("d", [], T["PixelData"], "OW", []), ("d", [], T["Modality"], "CS", []), ("d", [], T["Modality"], "CS", ["MR"]),
+    ]
+    odd = spark.createDataFrame([(*c, None) for c in cells], actions.SCHEMA)
+    got = {r["instance"]: tuple(r)[1:] for r in actions.pixel_risk(odd).collect()}
+    assert got == {"a": (False, None, "US", "low"), "b": (True, "YES", None, "high"), "c": (None, None, None, "unknown"), "d": (True, None, "MR", "unknown")}
+    spark.range(1, 101).selectExpr("id AS c_custkey", "'n' AS c_name", "0 AS c_nationkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(formats, "ROWS_A_TASK", 30)
+    made = registered.attributes(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 4 and made.select("instance").distinct().count() == 100
