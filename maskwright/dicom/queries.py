@@ -98,7 +98,7 @@ def action_attributes(spark: SparkSession, sf: str) -> DataFrame:
         row("OtherPatientIDs", "LO", k, F.concat(F.lit(" "), k, F.lit(" ")), F.lit("x")), row("StudyDate", "DA", day, day), row("SeriesDate", "DA", day), row("PatientSex", "CS", F.lit("O")), row("PatientAge", "AS", F.lit("030Y")),
         row("00091001", "LO", k), row("50001001", "LO", k), row("00080094", "SH", k), row("00101005", "PN", F.col("c_name")), row("StudyInstanceUID", "UI", k),
     )
-    return spark.read.parquet(f"{sf}/customer.parquet").select(k.alias("instance"), F.explode(F.array(*rows)).alias("a")).select("instance", "a.*")
+    return _customers(spark, sf).select(k.alias("instance"), F.explode(F.array(*rows)).alias("a")).select("instance", "a.*")
 
 
 def dicom_actions(spark: SparkSession, sf: str) -> DataFrame:

@@ -165,5 +165,5 @@ def test_risk_sorts_narrow_rows(spark, tmp_path, monkeypatch):
     assert got == {"a": (False, None, "US", "low"), "b": (True, "YES", None, "high"), "c": (None, None, None, "unknown"), "d": (True, None, "MR", "unknown")}
     spark.range(1, 101).selectExpr("id AS c_custkey", "'n' AS c_name", "0 AS c_nationkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     monkeypatch.setattr(formats, "ROWS_A_TASK", 30)
-    made = registered.attributes(spark, str(tmp_path))
-    assert made.rdd.getNumPartitions() == 4 and made.select("instance").distinct().count() == 100
+    for made in (registered.attributes(spark, str(tmp_path)), registered.action_attributes(spark, str(tmp_path))):
+        assert made.rdd.getNumPartitions() == 4 and made.select("instance").distinct().count() == 100
