@@ -126,11 +126,12 @@ def _mock_in_text_sql() -> str:
 
 
 def gated(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of documents that hold a match of a detector which its gate doesn't let through: none."""
+    """Texts of documents that hold a match of a detector which its gate doesn't let through: none. Where a gate lets a text
+    through nothing is lost, so that only the texts that it stops are searched."""
     from maskwright.functions import detectors
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    lost = [F.struct(F.lit(n).alias("detector"), (F.size(cascade.matches_of(text, detectors.PATTERNS[n])) - F.size(cascade.matches_of(text, detectors.PATTERNS[n], g))).alias("lost")) for n, g in detectors.GATES.items()]
+    lost = [F.struct(F.lit(n).alias("detector"), F.when(text.rlike(g), 0).otherwise(F.size(cascade.matches_of(text, n, read=detectors.led))).alias("lost")) for n, g in detectors.GATES.items()]
     return _t(spark, sf, "documents").select("doc_id", F.explode(F.array(*lost)).alias("l")).select("doc_id", "l.*").filter("lost <> 0")
 
 
